@@ -16,7 +16,8 @@ from ..functions import geo
 from ..functions.scalars import clock, clock_rounded, day_rank
 from ..session import stored
 from ..sources.tables import Tables
-from .blocks import first_per, top_per
+from .blocks import first_per, running, top_per
+from .enrich import consecutive_stops
 from .journeys import SERVICE, schedule_service
 from .locate import PIN_THRESHOLD_M, locate, stops_near
 
@@ -54,15 +55,17 @@ def stop_anchors(t: Tables, stops: DataFrame) -> DataFrame:
 
 
 def leg_cells(t: Tables, legs: DataFrame) -> DataFrame:
-    """Trips that serve both ends of a leg on consecutive rows."""
-    a = t.visit.select(F.col("stop_id").alias("from_stop_id"), "schedule_id", "trip_index",
-                       "stop_sequence", F.col("dep_min").alias("m_a"))
-    b = t.visit.select(F.col("stop_id").alias("to_stop_id"), "schedule_id", "trip_index",
-                       (F.col("stop_sequence") - 1).alias("stop_sequence"),
-                       F.col("dep_min").alias("m_b"))
+    """Trips that serve both ends of a leg on consecutive rows.
+
+    Legs meet schedules first, where a leg is one row, and cells only after that.
+    """
     on_leg = legs.select("from_stop_id", "to_stop_id").distinct()
-    return (on_leg.join(a, "from_stop_id")
-            .join(b, ["to_stop_id", "schedule_id", "trip_index", "stop_sequence"]))
+    rows = consecutive_stops(t).join(on_leg, ["from_stop_id", "to_stop_id"])
+    a = t.visit.select("schedule_id", "trip_index", "stop_sequence", F.col("dep_min").alias("m_a"))
+    b = t.visit.select("schedule_id", "trip_index", (F.col("stop_sequence") - 1).alias("stop_sequence"),
+                       F.col("dep_min").alias("m_b"))
+    return (rows.join(a, ["schedule_id", "stop_sequence"])
+            .join(b, ["schedule_id", "trip_index", "stop_sequence"]))
 
 
 def pin_anchors(t: Tables, legs: DataFrame) -> DataFrame:
@@ -265,7 +268,6 @@ def _road_points(t: Tables, lead: DataFrame, key: list[str]) -> DataFrame:
 
 def _previous(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, leg_no, prev): the last point of the leg before, skipping missing legs."""
-    from .blocks import running
     with_last = rows.withColumn("_v", F.struct("leg_no", "last"))
     return running(with_last, key, "leg_no", {"_p": ("max", "_v", "before", False)}).select(
         *key, "leg_no", F.col("_p.last").alias("prev"))

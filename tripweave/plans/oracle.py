@@ -261,9 +261,9 @@ TABLES: dict[str, str] = {
               FROM pin_seg)""",
     "pin_leg": """
         SELECT request_id, from_stop_id, to_stop_id, round(d, 1) AS distance_m,
-               round(greatest(0.0, least(1.0, at / (m1 + m2))), 4) AS fraction
+               round(greatest(0.0, least(1.0, walked / (m1 + m2))), 4) AS fraction
         FROM (SELECT *, CASE WHEN d2 < d1 THEN d2 ELSE d1 END AS d,
-                     CASE WHEN d2 < d1 THEN m1 + t2 * m2 ELSE t1 * m1 END AS at
+                     CASE WHEN d2 < d1 THEN m1 + t2 * m2 ELSE t1 * m1 END AS walked
               FROM (SELECT *, sqrt(pow(q1x - t1 * u1x, 2) + pow(q1y - t1 * u1y, 2)) AS d1,
                            sqrt(pow(q2x - t2 * u2x, 2) + pow(q2y - t2 * u2y, 2)) AS d2
                     FROM pin_foot))

@@ -24,7 +24,10 @@ def build_session(app: str = "tripweave", master: str | None = None,
     if master:
         b = b.master(master)
     if master and master.startswith("local"):
-        b = b.config("spark.driver.memory", os.environ.get("TRIPWEAVE_DRIVER_MEMORY", "16g"))
+        # Small local inputs would otherwise end up in one task each.
+        b = (b.config("spark.driver.memory", os.environ.get("TRIPWEAVE_DRIVER_MEMORY", "16g"))
+             .config("spark.sql.files.openCostInBytes", "65536")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
