@@ -76,7 +76,7 @@ def daypart(board, arrive) -> Column:
 
 def sign_parts(label) -> Column:
     """The trimmed, non-empty pieces of an ``A - B - C`` label."""
-    return F.filter(F.transform(F.split(_c(label), " - "), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_c(label), " - "), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def bus_sign(label) -> Column:

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def every_query():
     """(queries by name, checking SQL by name)."""
-    from . import analytics, catalog, ingest, journeys, places  # noqa: F401
+    from . import analytics, catalog, ingest, journeys, places, upkeep  # noqa: F401
     from .registry import ORACLES, QUERIES
     return dict(QUERIES), dict(ORACLES)

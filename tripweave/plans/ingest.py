@@ -181,8 +181,15 @@ _PARSED = {"live": """
     FROM (SELECT DISTINCT schedule_id, trip_index FROM stop_time WHERE cell_type <> 'NONE')"""}
 
 
-def parsed(spark, sf):
-    return P.parse(network_lines(load(spark, sf)))
+_DONE: dict[tuple[str, str], P.Parsed] = {}
+
+
+def parsed(spark, sf) -> P.Parsed:
+    """The printed network, parsed once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DONE:
+        _DONE[key] = P.parse(network_lines(load(spark, sf)))
+    return _DONE[key]
 
 
 @query("""
