@@ -43,15 +43,14 @@ def stop_anchors(t: Tables, stops: DataFrame) -> DataFrame:
     """Anchors of named stops: one per visit, at its exact position."""
     minutes = floor_minutes()
     guessed = F.col("dep_min").isNull() & minutes.isNotNull()
-    st = t.stop.select(F.col("id").alias("stop_id"), F.col("name").alias("label"))
-    return (stops.select("stop_id").distinct().join(t.visit, "stop_id").join(st, "stop_id")
+    return (stops.select("stop_id").distinct().join(t.visit, "stop_id")
             .select("stop_id", "schedule_id", "trip_index",
                     F.col("stop_sequence").cast("double").alias("position"),
                     minutes.cast("double").alias("minutes"),
                     F.when(guessed, F.concat(F.lit("from "), clock("prior_min")))
                     .otherwise(F.col("raw_value")).alias("raw"),
-                    guessed.alias("approx"), "label", F.lit(0.0).alias("distance_m"),
-                    F.lit(0).cast("bigint").alias("leg_from"), F.lit(0).cast("bigint").alias("leg_to")))
+                    guessed.alias("approx"), F.lit(0.0).alias("distance_m"),
+                    F.col("stop_id").alias("leg_from"), F.lit(None).cast("bigint").alias("leg_to")))
 
 
 def leg_cells(t: Tables, legs: DataFrame) -> DataFrame:
@@ -72,72 +71,62 @@ def pin_anchors(t: Tables, legs: DataFrame) -> DataFrame:
     """Anchors of pins, from ``locate``: a fraction along a leg, time interpolated."""
     f, a, b = F.col("fraction"), F.col("m_a"), F.col("m_b")
     minutes = F.coalesce(a + f * (b - a), a.cast("double"), b.cast("double"))
-    sa = t.stop.select(F.col("id").alias("from_stop_id"), F.col("name").alias("name_a"))
-    sb = t.stop.select(F.col("id").alias("to_stop_id"), F.col("name").alias("name_b"))
     return (legs.join(leg_cells(t, legs), ["from_stop_id", "to_stop_id"])
-            .join(sa, "from_stop_id").join(sb, "to_stop_id")
             .select("request_id", "schedule_id", "trip_index",
                     (F.col("stop_sequence") + f).alias("position"), minutes.alias("minutes"),
                     F.coalesce(clock_rounded(minutes), F.lit("via")).alias("raw"),
-                    F.lit(True).alias("approx"),
-                    F.concat(F.lit("near "), F.col("name_a"), F.lit("–"), F.col("name_b"))
-                    .alias("label"), "distance_m", F.col("from_stop_id").alias("leg_from"),
+                    F.lit(True).alias("approx"), "distance_m", F.col("from_stop_id").alias("leg_from"),
                     F.col("to_stop_id").alias("leg_to")))
 
 
-_AT = ["place_kind", "place_stop", "place_lat", "place_lon"]
+def labelled(t: Tables, df: DataFrame, leg_from: str, leg_to: str, label: str) -> DataFrame:
+    """Adds an anchor's label: the stop's name, or ``near A–B`` for a pin on leg A-B."""
+    sa = t.stop.select(F.col("id").alias("_a"), F.col("name").alias("_name_a"))
+    sb = t.stop.select(F.col("id").alias("_b"), F.col("name").alias("_name_b"))
+    return (df.join(sa, F.col(leg_from) == F.col("_a")).join(sb, F.col(leg_to) == F.col("_b"), "left")
+            .withColumn(label, F.when(F.col("_b").isNull(), F.col("_name_a")).otherwise(
+                F.concat(F.lit("near "), F.col("_name_a"), F.lit("–"), F.col("_name_b"))))
+            .drop("_a", "_b", "_name_a", "_name_b"))
 
 
-def _place(side: str) -> list[Column]:
-    """An endpoint's identity: a stop id wins over coordinates."""
+def _place(side: str) -> Column:
+    """An endpoint's identity, null when it has none: a stop id wins over coordinates."""
     stop, lat, lon = (F.col(f"{side}_{c}") for c in ("stop_id", "lat", "lon"))
-    pin = stop.isNull() & lat.isNotNull() & lon.isNotNull()
-    return [F.when(stop.isNotNull(), "stop").when(pin, "pin").otherwise("none").alias("place_kind"),
-            F.coalesce(stop, F.lit(-1)).cast("bigint").alias("place_stop"),
-            F.when(pin, lat).otherwise(F.lit(0.0)).alias("place_lat"),
-            F.when(pin, lon).otherwise(F.lit(0.0)).alias("place_lon")]
+    return F.when(stop.isNotNull(), F.concat(F.lit("stop:"), stop.cast("string"))).when(
+        lat.isNotNull() & lon.isNotNull(),
+        F.concat(F.lit("pin:"), lat.cast("string"), F.lit(":"), lon.cast("string")))
 
 
 def endpoint_anchors(t: Tables, places: DataFrame, threshold: float) -> DataFrame:
-    """Anchors of distinct endpoints, stops and pins alike."""
-    stops = places.filter("place_kind = 'stop'")
-    by_stop = stop_anchors(t, stops.select(F.col("place_stop").alias("stop_id")))
-    from_stops = by_stop.select(F.lit("stop").alias("place_kind"), F.col("stop_id").alias("place_stop"),
-                                F.lit(0.0).alias("place_lat"), F.lit(0.0).alias("place_lon"),
-                                *by_stop.columns[1:])
-    pin = F.struct("place_lat", "place_lon")
-    pins = places.filter("place_kind = 'pin'").select(
-        pin.alias("request_id"), F.col("place_lat").alias("lat"), F.col("place_lon").alias("lon"))
-    by_pin = pin_anchors(t, locate(t, pins, threshold))
-    from_pins = by_pin.select(F.lit("pin").alias("place_kind"), F.lit(-1).cast("bigint").alias("place_stop"),
-                              F.col("request_id.place_lat").alias("place_lat"),
-                              F.col("request_id.place_lon").alias("place_lon"), *by_pin.columns[1:])
-    return from_stops.unionByName(from_pins)
+    """Anchors of distinct endpoints (place, stop_id, lat, lon), stops and pins alike."""
+    stops = places.filter("stop_id IS NOT NULL").select("place", "stop_id")
+    from_stops = stops.join(stop_anchors(t, stops), "stop_id").drop("stop_id")
+    pins = places.filter("stop_id IS NULL").select(F.col("place").alias("request_id"), "lat", "lon")
+    legs = stored(locate(t, pins, threshold), "pin_legs")
+    return from_stops.unionByName(pin_anchors(t, legs).withColumnRenamed("request_id", "place"))
 
 
 # Equal positions go to the nearer leg, then to the lower stop ids.
 _FIRST = ["position", "distance_m", "leg_from", "leg_to"]
 _TRIP = ["schedule_id", "trip_index"]
-_ENDS = ["f_kind", "f_stop", "f_lat", "f_lon", "t_kind", "t_stop", "t_lat", "t_lon"]
+_ENDS = ["f_place", "t_place"]
 
 
-def _side(anchors: DataFrame, end: str, prefix: str) -> DataFrame:
-    names = {"place_kind": f"{end}_kind", "place_stop": f"{end}_stop",
-             "place_lat": f"{end}_lat", "place_lon": f"{end}_lon"}
-    return anchors.select(*[F.col(k).alias(v) for k, v in names.items()], *_TRIP, *[
+def _side(anchors: DataFrame, place: str, prefix: str) -> DataFrame:
+    return anchors.select(F.col("place").alias(place), *_TRIP, *[
         F.col(c).alias(f"{prefix}_{c}") for c in
-        ("position", "minutes", "raw", "approx", "label", "distance_m", "leg_from", "leg_to")])
+        ("position", "minutes", "raw", "approx", "distance_m", "leg_from", "leg_to")])
 
 
 def match_trips(anchors: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per (endpoint pair, trip): the earliest boarding anchor and the first
     alighting anchor after it that is at most a minute early."""
-    board = first_per(anchors, [*_AT, *_TRIP], _FIRST)
-    b, a = _side(board, "f", "b"), _side(anchors, "t", "a")
+    board = first_per(anchors, ["place", *_TRIP], _FIRST)
+    b, a = _side(board, "f_place", "b"), _side(anchors, "t_place", "a")
     later = ((F.col("a_position") > F.col("b_position"))
              & (F.col("a_minutes").isNull() | F.col("b_minutes").isNull()
                 | (F.col("a_minutes") >= F.col("b_minutes") - 1)))
-    met = pairs.join(b, _ENDS[:4]).join(a, [*_ENDS[4:], *_TRIP]).filter(later)
+    met = pairs.join(b, "f_place").join(a, ["t_place", *_TRIP]).filter(later)
     return first_per(met, [*_ENDS, *_TRIP], [f"a_{c}" for c in _FIRST])
 
 
@@ -158,14 +147,15 @@ def plan(t: Tables, requests: DataFrame, threshold: float = PIN_THRESHOLD_M) ->
     Within a service the lowest (schedule, trip) supplies segment, path and labels, and
     departures with the same printed pair count once.
     """
-    named = requests.select(
-        "request_id",
-        *[c.alias(n) for c, n in zip(_place("from"), _ENDS[:4])],
-        *[c.alias(n) for c, n in zip(_place("to"), _ENDS[4:])])
-    valid = named.filter("f_kind <> 'none' AND t_kind <> 'none'")
+    named = requests.withColumns({"f_place": _place("from"), "t_place": _place("to")})
+    valid = named.filter("f_place IS NOT NULL AND t_place IS NOT NULL")
     pairs = valid.select(*_ENDS).distinct()
-    places = (pairs.select(*[F.col(e).alias(n) for e, n in zip(_ENDS[:4], _AT)])
-              .union(pairs.select(*[F.col(e).alias(n) for e, n in zip(_ENDS[4:], _AT)])).distinct())
+
+    def end(place, side):
+        stop = F.col(f"{side}_stop_id")
+        return valid.select(F.col(place).alias("place"), stop.alias("stop_id"), *[
+            F.when(stop.isNull(), F.col(f"{side}_{c}")).alias(c) for c in ("lat", "lon")])
+    places = end("f_place", "from").union(end("t_place", "to")).distinct()
     anchors = stored(endpoint_anchors(t, places, threshold), "anchors")
     matched = match_trips(anchors, pairs).join(
         schedule_service(t).drop("timetable_id", "route_id"), "schedule_id")
@@ -178,8 +168,10 @@ def plan(t: Tables, requests: DataFrame, threshold: float = PIN_THRESHOLD_M) ->
     def asked(df, *cols):
         return valid.join(df, _ENDS).select("request_id", *SERVICE, *cols)
 
+    shown = labelled(t, labelled(t, lead, "b_leg_from", "b_leg_to", "b_label"),
+                     "a_leg_from", "a_leg_to", "a_label")
     return Plan(
-        options=asked(lead, "day_label", day_rank("day_type").alias("day_rank"),
+        options=asked(shown, "day_label", day_rank("day_type").alias("day_rank"),
                       F.col("b_approx").alias("board_approx"), F.col("a_approx").alias("alight_approx"),
                       F.col("b_label").alias("board_label"), F.col("a_label").alias("alight_label")),
         departures=asked(
@@ -275,7 +267,7 @@ def _previous(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def reachable_from_pins(t: Tables, pins: DataFrame, threshold: float = PIN_THRESHOLD_M) -> DataFrame:
     """Stops downstream of each pin on one bus, with the number of trips."""
-    legs = locate(t, pins, threshold)
+    legs = stored(locate(t, pins, threshold), "pin_legs")
     at = (legs.join(leg_cells(t, legs), ["from_stop_id", "to_stop_id"])
           .groupBy("request_id", *_TRIP)
           .agg(F.min(F.col("stop_sequence") + F.col("fraction")).alias("pos")))
