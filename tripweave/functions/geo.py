@@ -45,7 +45,8 @@ def point_to_segment(plat: Column, plon: Column, alat: Column, alon: Column,
     t = F.when(size == 0, F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / size)))
     return _bind(t, lambda u: F.struct(
-        F.hypot(px - u * dx, py - u * dy).alias("d"), u.alias("t")))
+        F.sqrt((px - u * dx) * (px - u * dx) + (py - u * dy) * (py - u * dy)).alias("d"),
+        u.alias("t")))
 
 
 def segments(path) -> Column:

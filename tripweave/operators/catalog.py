@@ -77,8 +77,9 @@ def route_detail(t: Tables, requests: DataFrame) -> DataFrame:
                     "letter_group", *tt.columns[1:]))
 
 
-ROUTE_DETAIL_ORDER = ["request_id", "is_public_holiday", "timetable_number",
-                      F.asc_nulls_last("effective_from"), "timetable_id"]
+def route_detail_order() -> list:
+    return ["request_id", "is_public_holiday", "timetable_number",
+            F.asc_nulls_last("effective_from"), "timetable_id"]
 
 
 def timetable_header(t: Tables, requests: DataFrame) -> DataFrame:

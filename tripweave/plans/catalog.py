@@ -47,7 +47,7 @@ def route_search(spark, sf):
 def route_timetables(spark, sf):
     n = F.col("n_nationkey").cast("bigint")
     req = read(spark, sf, "nation").select(n.alias("request_id"), (n * 2).alias("route_id"))
-    return C.route_detail(load(spark, sf), req).orderBy(*C.ROUTE_DETAIL_ORDER)
+    return C.route_detail(load(spark, sf), req).orderBy(*C.route_detail_order())
 
 
 @query("""
