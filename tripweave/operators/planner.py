@@ -126,7 +126,11 @@ def match_trips(anchors: DataFrame, pairs: DataFrame) -> DataFrame:
     later = ((F.col("a_position") > F.col("b_position"))
              & (F.col("a_minutes").isNull() | F.col("b_minutes").isNull()
                 | (F.col("a_minutes") >= F.col("b_minutes") - 1)))
-    met = pairs.join(b, "f_place").join(a, ["t_place", *_TRIP]).filter(later)
+    # Endpoints meet on schedules first, trip by trip only on those both are near.
+    near = anchors.select("place", "schedule_id").distinct()
+    shared = (pairs.join(near.withColumnRenamed("place", "f_place"), "f_place")
+              .join(near.withColumnRenamed("place", "t_place"), ["t_place", "schedule_id"]))
+    met = (shared.join(b, ["f_place", "schedule_id"]).join(a, ["t_place", *_TRIP]).filter(later))
     return first_per(met, [*_ENDS, *_TRIP], [f"a_{c}" for c in _FIRST])
 
 
