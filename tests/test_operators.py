@@ -251,3 +251,22 @@ def test_no_connection_leaves_before_the_buffer(spark):
                     F.col("arrive_minutes").alias("got_there"))
     assert legs.join(a, ["request_id", "connection_no", "leg_no"]).filter(
         "board_minutes < got_there + 10").count() == 0
+
+
+def test_one_order_with_most_lines(spark, tmp_path):
+    """A schedule far longer than a block is numbered as one window would number it."""
+    import duckdb
+
+    from tripweave.sources.network import derive
+    n = 12_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") < 10_000, 7).otherwise(F.col("id") % 900).cast("bigint").alias("l_orderkey"),
+        ((F.col("id") * 7919) % 20_011).alias("l_partkey"),
+        (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in derive(spark, str(tmp_path)).schedule_stop.collect()}
+    want = duckdb.connect().execute(f"""
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY f, l_partkey) - 1, l_partkey
+        FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS f
+              FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet') GROUP BY 1, 2)""").fetchall()
+    assert got == set(want)

@@ -231,7 +231,7 @@ def _leg_sql(src, k, i, frm, to):
                from_seq{i} AS from_seq, to_seq{i} AS to_seq FROM {src}"""
 
 
-_EVERY = {"every": " UNION ALL ".join([
+EVERY_LEG = {"every": " UNION ALL ".join([
     _leg_sql("two", 2, 1, "from_id", "x"), _leg_sql("two", 2, 2, "x", "to_id"),
     _leg_sql("three", 3, 1, "from_id", "x"), _leg_sql("three", 3, 2, "x", "y"),
     _leg_sql("three", 3, 3, "y", "to_id")])}
@@ -244,7 +244,7 @@ _EVERY = {"every": " UNION ALL ".join([
            e.route_label, e.timetable_number, e.board_raw, e.arrive_raw, e.board_minutes,
            e.arrive_minutes, e.schedule_id, e.trip_index, e.from_seq, e.to_seq
     FROM od o JOIN every e ON e.from_id = o.from_id AND e.to_id = o.to_id
-    JOIN stop a ON a.id = e.from_stop_id JOIN stop b ON b.id = e.to_stop_id""", _EVERY)
+    JOIN stop a ON a.id = e.from_stop_id JOIN stop b ON b.id = e.to_stop_id""", EVERY_LEG)
 def connections_cascade(spark, sf):
     return X.connections(load(spark, sf), R.od_requests(spark, sf)).legs
 

@@ -13,6 +13,7 @@ from ..operators import merge as G
 from ..sources.network import load, read
 from . import requests as R
 from .ingest import parsed
+from .journeys import EVERY_LEG
 from .registry import query
 
 AT = "2026-02-01 00:00:00"
@@ -248,7 +249,20 @@ def unrepeated_rides(spark, sf):
     return I.without_repeats(rides).select("itinerary_id", "position", "ride_key")
 
 
-@query()
+@query("""
+    SELECT o.request_id || '-' || e.connection_no AS itinerary_id, e.leg_no - 1 AS position,
+           e.schedule_id || ':' || e.trip_index || ':' || e.from_seq || ':' || e.to_seq AS ride_key,
+           e.from_stop_id, a.name AS from_name, coalesce(a.lat, 0) AS from_lat,
+           coalesce(a.lon, 0) AS from_lon, e.to_stop_id, b.name AS to_name,
+           coalesce(b.lat, 0) AS to_lat, coalesce(b.lon, 0) AS to_lon, e.route_label,
+           e.timetable_number, e.day_type,
+           CASE e.day_type WHEN 'WEEKDAY' THEN 'Mon-Fri' WHEN 'SATURDAY' THEN 'Saturday'
+                WHEN 'SUNDAY' THEN 'Sunday' WHEN 'PUBLIC_HOLIDAY' THEN 'Public Holiday'
+                ELSE 'Other' END AS day_label,
+           e.board_raw, e.arrive_raw, e.board_minutes, e.arrive_minutes, e.schedule_id, e.trip_index,
+           e.from_seq, e.to_seq
+    FROM od o JOIN every e ON e.from_id = o.from_id AND e.to_id = o.to_id
+    JOIN stop a ON a.id = e.from_stop_id JOIN stop b ON b.id = e.to_stop_id""", EVERY_LEG)
 def planned_connections(spark, sf):
     return I.planned_legs(X.connections(load(spark, sf), R.od_requests(spark, sf)).legs)
 
