@@ -29,10 +29,10 @@ GROUP_ROWS = 100_000
 
 def cut_documents(docs: DataFrame, path: str, length: int, end_id: int | None,
                   keep_ids: bool = False, text: str = "text", key: str = "doc_id",
-                  slice_bytes: int = 4 << 20) -> DataFrame:
+                  slice_bytes: int = 4 << 20, narrow: bool = False) -> DataFrame:
     """Pieces of documents: (key, start, length, ids_crc32, doc_tokens[, ids]).
 
-    ``ids`` are packed little-endian unsigned 32-bit. With no ``end_id`` an empty document
+    ``ids`` are packed little-endian unsigned 32-bit, 16-bit if ``narrow``. With no ``end_id`` an empty document
     has no ids and gives no piece.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -49,8 +49,10 @@ def cut_documents(docs: DataFrame, path: str, length: int, end_id: int | None,
                 for at in range(0, len(ids), 4 * length):
                     piece = ids[at:at + 4 * length]
                     rows.append(i)
+                    held = np.frombuffer(piece, "<u4").astype("<u2").tobytes() if (
+                        keep_ids and narrow) else piece
                     for c, v in zip(cols, (at // 4, len(piece) // 4, zlib.crc32(piece),
-                                           len(ids) // 4, piece)):
+                                           len(ids) // 4, held)):
                         c.append(v)
             kinds = [pa.int64()] * 4 + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays(

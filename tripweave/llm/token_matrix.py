@@ -74,8 +74,9 @@ def pack_matrix(docs: DataFrame, path: str, length: int = 4096, end_id: int | No
     if narrow and length > 1 << 16:
         raise ValueError("positions need 32 bits at this length")
     kind = docs.schema[key].dataType.simpleString()
-    parts = dealt(cut_documents(docs, path, length, end_id, True, text, key)
-                  .withColumnRenamed(key, "key"), "matrix-pieces", group_tokens, group_rows)
+    cut = cut_documents(docs, path, length, end_id, True, text, key, narrow=narrow)
+    parts = dealt(cut.drop("ids_crc32", "doc_tokens").withColumnRenamed(key, "key"),
+                  "matrix-pieces", group_tokens, group_rows)
     unit = "<u2" if narrow else "<u4"
 
     names = ["sequence_id", "n_tokens", "keys", "starts", "cu_seqlens", "ids", "positions"]
@@ -94,7 +95,7 @@ def pack_matrix(docs: DataFrame, path: str, length: int = 4096, end_id: int | No
         for lo, hi in zip(cuts, cuts[1:]):
             ends = [0, *np.cumsum(size[lo:hi]).tolist()]
             ids, positions = np.full(length, pad_id, unit), np.zeros(length, unit)
-            ids[:ends[-1]] = np.frombuffer(b"".join(raw[lo:hi]), "<u4")
+            ids[:ends[-1]] = np.frombuffer(b"".join(raw[lo:hi]), unit)
             for at, end in zip(ends, ends[1:]):
                 positions[at:end] = np.arange(end - at)
             row = (base + int(bins[lo]), ends[-1], keys[lo:hi], starts[lo:hi], ends,
