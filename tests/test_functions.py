@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripweave.functions import geo
 from tripweave.functions import scalars as S
-from tripweave.operators.enrich import _decode
+from tripweave.operators.enrich import decode_batch
 
 
 def one(spark, col):
@@ -67,33 +67,33 @@ def empty():
     return F.expr("cast(array() as array<struct<lat:double,lon:double>>)")
 
 
-def east():
-    return path((0, 0), (0, 0.01), (0, 0.02))
+METRES = math.radians(1) * 6_371_000  # of a degree along a meridian
 
 
 def test_haversine(spark):
-    assert 110_000 < one(spark, geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))) < 112_000
-    d = one(spark, geo.haversine_m(F.lit(-33.9224), F.lit(18.4256), F.lit(-33.9022), F.lit(18.6295)))
-    assert abs(d - 19_200) < 600
+    d = one(spark, geo.haversine_m(F.lit(3.0), F.lit(7.0), F.lit(3.5), F.lit(7.0)))
+    assert d == pytest.approx(METRES / 2, rel=1e-6)
+    d = one(spark, geo.haversine_m(F.lit(60.0), F.lit(0.0), F.lit(60.0), F.lit(0.02)))
+    assert d == pytest.approx(METRES * 0.02 * math.cos(math.radians(60)), rel=1e-4)
 
 
 def test_point_to_segment(spark):
-    f = [F.lit(x) for x in (0.001, 0.005, 0.0, 0.0, 0.0, 0.01)]
+    f = [F.lit(x) for x in (0.002, 0.003, 0.0, 0.0, 0.0, 0.012)]
     r = one(spark, geo.point_to_segment(*f))
-    assert 0.4 < r["t"] < 0.6 and 100 < r["d"] < 125
-    f = [F.lit(x) for x in (0.0, 0.02, 0.0, 0.0, 0.0, 0.01)]
-    assert one(spark, geo.point_to_segment(*f))["t"] == 1.0
+    assert r["t"] == pytest.approx(0.25, abs=0.01) and r["d"] == pytest.approx(0.002 * METRES, rel=0.01)
+    f = [F.lit(x) for x in (0.0, -0.004, 0.0, 0.0, 0.0, 0.012)]
+    assert one(spark, geo.point_to_segment(*f))["t"] == 0.0
 
 
 def test_locate_on_path(spark):
     at = lambda p, m, la, lo: one(spark, geo.locate_on_path(p, F.lit(m).cast("double"), F.lit(la), F.lit(lo)))
-    r = at(east(), None, 0.0005, 0.01)
-    assert 0.45 < r["fraction"] < 0.55 and r["distance"] < 80
-    assert at(path((0, 0), (0, 0.01)), None, 0.05, 0.005)["distance"] > 5_000
-    r = at(path((-33.92, 18.42), (-33.92, 18.43), (-33.92, 18.44)), None, -33.9205, 18.43)
-    assert abs(r["distance"] - 55) < 10 and abs(r["fraction"] - 0.5) < 0.01
+    bend = path((0, 0), (0, 0.03), (0.01, 0.03))
+    r = at(bend, None, 0.001, 0.01)
+    assert r["fraction"] == pytest.approx(0.25, abs=0.01) and r["distance"] == pytest.approx(0.001 * METRES, rel=0.01)
+    r = at(bend, None, 0.005, 0.032)
+    assert r["fraction"] == pytest.approx(0.875, abs=0.01) and r["distance"] == pytest.approx(0.002 * METRES, rel=0.01)
     assert at(empty(), None, 0.0, 0.0)["distance"] == math.inf
-    assert at(path((0, 0)), None, 0.0, 0.01)["fraction"] == 0.0
+    assert at(path((2, 3)), None, 2.0, 3.01)["fraction"] == 0.0
 
 
 def sliced(spark, p, s, e):
@@ -101,17 +101,16 @@ def sliced(spark, p, s, e):
 
 
 def test_slice_path(spark):
-    assert sliced(spark, east(), 0, 1) == [(0, 0), (0, 0.01), (0, 0.02)]
-    head = sliced(spark, east(), 0.5, 1)
-    assert head[0][1] == pytest.approx(0.01, abs=1e-6) and head[-1] == (0, 0.02)
-    tail = sliced(spark, east(), 0, 0.5)
-    assert tail[0] == (0, 0) and tail[-1][1] == pytest.approx(0.01, abs=1e-6)
-    both = sliced(spark, path((0, 0), (0, 0.02)), 0.25, 0.75)
-    assert both[0][1] == pytest.approx(0.005, abs=1e-6) and both[-1][1] == pytest.approx(0.015, abs=1e-6)
-    assert sliced(spark, empty(), 0.2, 0.8) == []
-    assert sliced(spark, path((1, 2)), 0.2, 0.8) == [(1, 2)]
-    assert sliced(spark, path((0, 0), (0, 0.01)), 0.8, 0.2) == []
-    assert sliced(spark, path((1, 1), (1, 1)), 0.2, 0.8) == [(1, 1)]
+    bend = path((0, 0), (0, 0.03), (0.01, 0.03))      # three quarters east, then north
+    assert sliced(spark, bend, 0, 1) == [(0, 0), (0, 0.03), (0.01, 0.03)]
+    part = sliced(spark, bend, 0.375, 0.875)
+    assert part[0][1] == pytest.approx(0.015, abs=1e-5) and part[1] == (0, 0.03)
+    assert part[2][0] == pytest.approx(0.005, abs=1e-5)
+    assert len(sliced(spark, bend, 0.1, 0.6)) == 2
+    assert sliced(spark, empty(), 0.1, 0.9) == []
+    assert sliced(spark, path((4, 5)), 0.1, 0.9) == [(4, 5)]
+    assert sliced(spark, bend, 0.9, 0.1) == []
+    assert sliced(spark, path((7, 7), (7, 7)), 0.1, 0.9) == [(7, 7)]
 
 
 def test_join_paths(spark):
@@ -119,6 +118,9 @@ def test_join_paths(spark):
     assert [tuple(p) for p in one(spark, geo.join_paths(a))] == [(0, 0), (0, 1), (0, 2), (5, 5)]
 
 
-def test_polyline_known_value():
-    got = [(p["lat"], p["lon"]) for p in _decode("_p~iF~ps|U_ulLnnqC_mqNvxq`@")]
-    assert got == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
+def test_polylines_decode_in_one_batch():
+    """Against lines written out here by hand: 0 is '?', 1 is 'A', -1 is '@', 16 is '_@'."""
+    got = decode_batch(["", "??A@", "_@?", "", "@@AAAA"])
+    want = [[], [(0, 0), (1, -1)], [(16, 0)], [], [(-1, -1), (0, 0), (1, 1)]]
+    assert [[(round(a * 1e5), round(b * 1e5)) for a, b in p.tolist()] for p in got] == want
+    assert decode_batch([]) == []

@@ -270,3 +270,19 @@ def test_one_order_with_most_lines(spark, tmp_path):
         FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS f
               FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet') GROUP BY 1, 2)""").fetchall()
     assert got == set(want)
+
+
+def test_leg_geometry_upsert(spark):
+    """New paths go over old ones; legs not fetched, or fetched without points, stay."""
+    from tripweave.operators.enrich import upsert_leg_geometry
+    from tripweave.sources.tables import SCHEMAS
+    import datetime as dt
+
+    def leg(a, b, points, day):
+        return (a, b, [(float(i), 0.0) for i in range(points)], 1.0 * points, 0.0, 0.0, 0.0, 0.0, "x",
+                dt.datetime(2026, 1, day))
+    make = lambda rows: spark.createDataFrame(rows, SCHEMAS["leg_geometry"])
+    old = make([leg(1, 2, 2, 1), leg(2, 3, 2, 1), leg(3, 4, 2, 1)])
+    new = make([leg(1, 2, 5, 2), leg(1, 2, 6, 3), leg(2, 3, 0, 2), leg(9, 9, 3, 2)])
+    got = {(r["from_stop_id"], r["to_stop_id"]): len(r["path"]) for r in upsert_leg_geometry(old, new).collect()}
+    assert got == {(1, 2): 6, (2, 3): 2, (3, 4): 2, (9, 9): 3}

@@ -1,7 +1,11 @@
 """The search stream: repeats, quarantine, the off switch, and equality with batch."""
 
 import datetime as dt
+from collections import Counter
 
+import pytest
+
+from tripweave.operators.analytics import searches_per_hour
 from tripweave.streaming import searches as S
 
 T0 = dt.datetime(2026, 1, 1, 10, 0)
@@ -16,15 +20,20 @@ def _write(spark, rows, path):
     spark.createDataFrame(rows, S.EVENT).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_hourly_volume_counts_each_event_once(spark, tmp_path):
-    src = str(tmp_path / "in")
-    _write(spark, [_event(1, 0), _event(1, 0), _event(2, 30), _event(3, 70), _event(4, 400)], src)
-    q = (S.hourly_volume(S.event_stream(spark, src)).writeStream.format("parquet").outputMode("append")
-         .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {r["hour"].hour: r["searches"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {10: 2, 11: 1}
+@pytest.mark.parametrize("files", [1, 9, 100])
+def test_hours_are_exact_for_any_files(spark, tmp_path, files):
+    """Events of ten days in random order, each third one delivered again in another batch."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events = [_event(i, 13 * (i * 7919 % 1100), options=i % 3) for i in range(1100)]
+    rows = events + events[::3]
+    df = spark.createDataFrame([(i % files, *r) for i, r in enumerate(rows)],
+                               "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.EVENT))
+    df.repartition(files, "part").drop("part").write.parquet(src)
+    S.record_searches(S.event_stream(spark, src, files_per_batch=20), out, str(tmp_path / "ck")).awaitTermination()
+    t = S.recorded(spark, out)
+    got = {r["hour"]: r["searches"] for r in searches_per_hour(t, limit=None).collect()}
+    assert got == Counter(e[-1].replace(minute=0) for e in events)
+    assert t.search_analytics_option.count() == sum(len(e[8]) for e in events)
 
 
 def test_recording_quarantines_and_can_be_off(spark, tmp_path):
@@ -38,14 +47,3 @@ def test_recording_quarantines_and_can_be_off(spark, tmp_path):
     assert rows[1]["from_kind"] == "stop" and rows[1]["to_kind"] == "pin"
     assert spark.read.parquet(out + "/search_analytics_option").count() == 2
     assert spark.read.parquet(out + "/search_quarantine").count() == 1
-
-
-def test_route_volume(spark, tmp_path):
-    src = str(tmp_path / "in")
-    _write(spark, [_event(1, 0, options=3), _event(2, 5, options=1), _event(3, 400)], src)
-    q = (S.route_volume(S.event_stream(spark, src)).writeStream.format("memory").queryName("route_volume")
-         .outputMode("append").trigger(availableNow=True)
-         .option("checkpointLocation", str(tmp_path / "ck")).start())
-    q.awaitTermination()
-    got = [(r["hour"].hour, r["searches"], r["departures_offered"]) for r in spark.table("route_volume").collect()]
-    assert got == [(10, 2, 3)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
+from ..session import stored
 from ..sources.tables import PATH, Tables
 
 
@@ -89,35 +91,35 @@ def leg_worklist(t: Tables, force: bool = False) -> DataFrame:
                      ["from_stop_id", "to_stop_id"], "left_anti")
 
 
-def _read_number(codes, i):
-    """One signed delta of an encoded polyline starting at ``i``: (value, next index)."""
-    bits, size = 0, 0
-    while True:
-        chunk = codes[i] - 63
-        bits += (chunk % 32) << size
-        size, i = size + 5, i + 1
-        if chunk < 32:
-            return (-(bits // 2) - 1 if bits % 2 else bits // 2), i
+def decode_batch(lines: list[str]) -> list[np.ndarray]:
+    """The points of encoded polylines, one (n, 2) array of degrees for each line.
 
-
-def _decode(line):
-    codes, i, lat, lon, points = line.encode("ascii"), 0, 0, 0, []
-    while i < len(codes):
-        d, i = _read_number(codes, i)
-        lat += d
-        d, i = _read_number(codes, i)
-        lon += d
-        points.append({"lat": lat / 1e5, "lon": lon / 1e5})
-    return points
+    All lines are read at once: a character under 32 (less 63) ends a number, the five low
+    bits of each character are shifted by its place in its number and added up, the lowest
+    bit is the sign, and running sums within a line turn differences into places.
+    """
+    lengths = np.array([len(s) for s in lines], np.int64)
+    code = np.frombuffer("".join(lines).encode("ascii"), np.uint8).astype(np.int64) - 63
+    ends = np.flatnonzero(code < 32)
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))[:len(ends)]
+    place = np.arange(len(code)) - np.repeat(starts, ends - starts + 1)
+    number = np.add.reduceat((code % 32) << 5 * place, starts) if len(starts) else starts
+    step = np.where(number % 2 == 1, -(number + 1) // 2, number // 2).reshape(-1, 2)
+    # Every two numbers are a point; a line's points end where its characters do.
+    upto = np.searchsorted(ends, np.cumsum(lengths)) // 2
+    total = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(step, axis=0)))
+    first = np.concatenate((np.zeros(1, np.int64), upto[:-1]))[:len(lines)]
+    return [(total[i + 1:j + 1] - total[i]) / 1e5 for i, j in zip(first, upto)]
 
 
 @F.pandas_udf(T.ArrayType(PATH))
 def decode_polylines(rows: pd.Series) -> pd.Series:
-    """Arrays of encoded polylines as arrays of paths.
-
-    Bit shifting per character has no column form, so this is the library's one UDF.
-    """
-    return rows.map(lambda r: None if r is None else [_decode(s) for s in r])
+    """Arrays of encoded polylines as arrays of paths, decoded an Arrow batch at a time."""
+    flat = [s or "" for r in rows if r is not None for s in r]
+    found = iter(decode_batch(flat))
+    return pd.Series([None if r is None else [
+        [{"lat": a, "lon": b} for a, b in next(found).tolist()] for _ in r] for r in rows],
+        index=rows.index, dtype=object)
 
 
 def paths_from_steps(legs: DataFrame) -> DataFrame:
@@ -127,8 +129,10 @@ def paths_from_steps(legs: DataFrame) -> DataFrame:
     """
     lines = F.when(F.size("step_lines") > 0, F.col("step_lines")).otherwise(
         F.array("overview_line"))
-    return (legs.select("from_stop_id", "to_stop_id", "length_m",
-                        decode_polylines(lines).alias("pieces"))
+    # Written, so that no later step decodes a line again.
+    pieces = stored(legs.select("from_stop_id", "to_stop_id", "length_m",
+                                decode_polylines(lines).alias("pieces")), "leg-pieces")
+    return (pieces
             .select("from_stop_id", "to_stop_id", "length_m",
                     geo.join_paths("pieces").alias("path")))
 
@@ -139,3 +143,13 @@ def build_leg_geometry(paths: DataFrame, source: str, at) -> DataFrame:
             .select("from_stop_id", "to_stop_id", "path",
                     F.col("length_m").cast("double").alias("length_m"), "box.*",
                     F.lit(source).alias("source"), at.alias("fetched_at")))
+
+
+def upsert_leg_geometry(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored legs with newly fetched ones over them: a new row replaces the old one of its
+    leg, a leg that no new row is for stays as it was. Of several new rows of a leg the one
+    fetched last counts."""
+    key = ["from_stop_id", "to_stop_id"]
+    last = F.max_by(F.struct(*old.columns), F.struct("fetched_at", "length_m"))
+    fresh = new.filter(F.size("path") > 0).groupBy(*key).agg(last.alias("r")).select("r.*")
+    return old.join(fresh.select(*key), key, "left_anti").select(*old.columns).unionByName(fresh)

@@ -21,10 +21,9 @@ from .enrich import consecutive_stops
 from .journeys import SERVICE, schedule_service
 from .locate import PIN_THRESHOLD_M, locate, stops_near
 
-# Alternatives looked at and shown, and the distance under which a pin
+# How far alternatives are and how many are shown, and the distance under which a pin
 # counts as being at the stop itself.
 NEARBY_RADIUS_M = 2500.0
-NEARBY_CANDIDATES = 60
 NEARBY_SHOWN = 8
 SAME_PLACE_M = 30.0
 DAY_ALTERNATIVE_RADIUS_M = 8000.0
@@ -296,16 +295,15 @@ def nearby_origins(t: Tables, requests: DataFrame, radius: float = NEARBY_RADIUS
                    limit: int = NEARBY_SHOWN) -> DataFrame:
     """Other stops near a point with a direct bus to a stop.
 
-    Requests hold (lat, lon, to_id, exclude_id or null, day_type or null). The nearest 60
-    stops are looked at and the nearest ``limit`` that have a bus are returned.
+    Requests hold (lat, lon, to_id, exclude_id or null, day_type or null). All stops within
+    the radius are looked at and the nearest ``limit`` that have a bus are returned.
     """
     from .journeys import direct_service
     r = requests.select("request_id", "lat", "lon", "to_id", "exclude_id", "day_type")
     near = stops_near(t, r, radius).filter(
         "stop_id <> to_id AND stop_id <> coalesce(exclude_id, -1) AND "
         f"NOT (exclude_id IS NULL AND metres < {SAME_PLACE_M})")
-    cand = stored(top_per(near, ["request_id"], ["metres", "stop_id"], NEARBY_CANDIDATES)
-                  .withColumnRenamed("_rank", "nearness"), "nearby")
+    cand = stored(near, "nearby")
     asks = cand.select("stop_id", "to_id", "day_type").distinct()
     served = direct_service(t, asks.select(
         F.struct("stop_id", "to_id", "day_type").alias("request_id"),
@@ -314,14 +312,16 @@ def nearby_origins(t: Tables, requests: DataFrame, radius: float = NEARBY_RADIUS
         "trip_count")
     with_bus = (cand.join(served, ["stop_id", "to_id"])
                 .filter(F.col("day_type").eqNullSafe(F.col("d"))))
-    best = top_per(with_bus, ["request_id"], ["nearness"], limit)
+    best = top_per(with_bus, ["request_id"], ["metres", "stop_id"], limit)
     return best.select("request_id", F.col("_rank").alias("rank"), "stop_id", "name",
                        F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"),
                        F.rint("metres").cast("bigint").alias("distance_m"), "trip_count", "earliest")
 
 
-def missing_day_alternatives(t: Tables, requests: DataFrame, options: DataFrame) -> DataFrame:
-    """For core days a plan has no option on: the three nearest origins within 8 km.
+def missing_day_alternatives(t: Tables, requests: DataFrame, options: DataFrame,
+                             radius: float = DAY_ALTERNATIVE_RADIUS_M,
+                             limit: int = DAY_ALTERNATIVES_SHOWN) -> DataFrame:
+    """For core days a plan has no option on: the ``limit`` nearest origins within ``radius``.
 
     Requests hold (lat, lon, to_id, exclude_id); ``options`` are the plan's options.
     """
@@ -331,6 +331,6 @@ def missing_day_alternatives(t: Tables, requests: DataFrame, options: DataFrame)
             .join(days, "request_id").filter("lat IS NOT NULL AND lon IS NOT NULL")
             .select(F.struct("request_id", "day_type").alias("request_id"), "lat", "lon", "to_id",
                     "exclude_id", "day_type"))
-    found = nearby_origins(t, asks, DAY_ALTERNATIVE_RADIUS_M, NEARBY_SHOWN)
-    return found.filter(F.col("rank") <= DAY_ALTERNATIVES_SHOWN).select(
+    found = nearby_origins(t, asks, radius, limit)
+    return found.select(
         "request_id.request_id", "request_id.day_type", *found.columns[1:])

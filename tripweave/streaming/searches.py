@@ -1,4 +1,4 @@
-"""The search feed as a stream: recording, option rows and hourly volume."""
+"""The search feed as a stream, recorded once per event; reports read what is recorded."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.analytics import event_rows, option_rows
+from ..sources.tables import SCHEMAS, Tables
 
 OPTION = T.StructType([
     T.StructField("timetable_number", T.StringType()), T.StructField("route_label", T.StringType()),
@@ -20,41 +21,12 @@ EVENT = T.StructType([
     T.StructField("options", T.ArrayType(OPTION)), T.StructField("duration_ms", T.LongType()),
     T.StructField("searched_at", T.TimestampType())])
 
-LATENESS = "1 hour"
-
-
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
     """Search events arriving as parquet files."""
     return (spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch)
             .parquet(folder))
 
 
-def once_per_event(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Drops events delivered again within the lateness bound."""
-    return (events.withWatermark("searched_at", lateness)
-            .dropDuplicatesWithinWatermark(["event_id"]))
-
-
-def hourly_volume(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Distinct events per hour; an hour is final once the watermark passes it."""
-    return (once_per_event(events, lateness)
-            .groupBy(F.window("searched_at", "1 hour").alias("w"))
-            .agg(F.count(F.lit(1)).alias("searches"))
-            .select(F.col("w.start").alias("hour"), "searches"))
-
-
-def route_volume(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Per hour and route: searches that returned it (approximate) and departures offered."""
-    o = (events.withWatermark("searched_at", lateness)
-         .select("event_id", "searched_at", F.explode("options").alias("o")))
-    return (o.groupBy(F.window("searched_at", "1 hour").alias("w"), "o.route_label",
-                      "o.timetable_number", "o.day_type")
-            .agg(F.approx_count_distinct("event_id").alias("searches"),
-                 F.sum("o.departure_count").alias("departures_offered"))
-            .select(F.col("w.start").alias("hour"), "route_label", "timetable_number", "day_type",
-                    "searches", "departures_offered"))
-
-
 def usable(events: DataFrame):
     """The test an event must pass to be recorded."""
     return F.col("event_id").isNotNull() & F.col("endpoint").isNotNull() & F.col(
@@ -63,21 +35,53 @@ def usable(events: DataFrame):
 
 def record_searches(events: DataFrame, root: str, checkpoint: str, enabled: bool = True,
                     available_now: bool = True) -> StreamingQuery | None:
-    """Appends search rows and option rows under ``root``; unusable events go to a
-    quarantine folder and never stop the feed. Nothing is started when disabled.
-
-    Each batch is written to folders named by its number and replaces what an earlier
-    try of the same batch left there, so a retry does not double rows.
+    """Appends search rows and option rows under ``root``, once for each event id however
+    often and however late it is delivered; unusable events go to a quarantine folder and
+    never stop the feed. Nothing is started when disabled.
+
+    Each batch is written to folders named by its number and replaces what an earlier try of
+    the same batch left there. Searches are kept by day; an event is looked for in what
+    earlier batches recorded for its day, so no state grows with the feed and no event has to
+    arrive in order.
     """
     if not enabled:
         return None
+    stored = f"{root}/search_analytics"
 
     def write(batch: DataFrame, n: int) -> None:
-        good = batch.filter(usable(batch))
-        for name, df in (("search_analytics", event_rows(good)),
-                         ("search_analytics_option", option_rows(good)),
-                         ("search_quarantine", batch.filter(~usable(batch)))):
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
+        batch.persist()
+        good = batch.filter(usable(batch)).dropDuplicates(["event_id"]).withColumn(
+            "day", F.to_date("searched_at"))
+        if n:
+            seen = recorded_searches(batch.sparkSession, root).filter(F.col("batch") < n)
+            seen = (seen.select("day", F.col("id").alias("event_id"))
+                    .join(good.select("day").distinct(), "day", "left_semi"))
+            good = good.join(seen, ["day", "event_id"], "left_anti")
+        rows = event_rows(good).withColumn("day", F.to_date("searched_at"))
+        # Options first: a search row means that its options are there too.
+        option_rows(good).write.mode("overwrite").parquet(
+            f"{root}/search_analytics_option/batch={n}")
+        batch.filter(~usable(batch)).write.mode("overwrite").parquet(
+            f"{root}/search_quarantine/batch={n}")
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{stored}/batch={n}")
+        batch.unpersist()
 
     w = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def recorded_searches(spark: SparkSession, root: str) -> DataFrame:
+    """Search rows recorded so far, with their batch and day."""
+    schema = T.StructType(SCHEMAS["search_analytics"].fields + [
+        T.StructField("batch", T.IntegerType()), T.StructField("day", T.DateType())])
+    return spark.read.schema(schema).parquet(f"{root}/search_analytics")
+
+
+def recorded(spark: SparkSession, root: str) -> Tables:
+    """The recorded rows as tables, for every report over searches: exact at any time,
+    whatever the order and the number of files events came in."""
+    options = SCHEMAS["search_analytics_option"]
+    return Tables(spark, {
+        "search_analytics": lambda: recorded_searches(spark, root).drop("batch", "day"),
+        "search_analytics_option": lambda: spark.read.schema(options).parquet(
+            f"{root}/search_analytics_option")})
