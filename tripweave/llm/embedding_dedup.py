@@ -90,12 +90,6 @@ class Grid:
             cells.append(i * self.width + order[r, c])
         return home, np.concatenate(rows), np.concatenate(cells)
 
-    def visited(self, x: np.ndarray, cells: np.ndarray, bound: float) -> np.ndarray:
-        """Whether the search of each row of ``x`` visits the cell beside it."""
-        _, (first, second) = self.gaps(x)
-        at = np.arange(len(x))
-        return first[at, cells // self.width] + second[at, cells % self.width] <= bound + 1e-9
-
 
 def usable(vec, label):
     """Whether a row can link at all."""
@@ -170,29 +164,29 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, recall: float = 0.
     def compare(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
         homes, asks = (group.filter(pa.array(side == s)) for s in (0, 1))
-        empty = np.zeros(0, np.int64)
-        found, counts = [(empty, empty)], [(empty, empty)]
-        if homes.num_rows and asks.num_rows:
-            d, cell = group.column("dims")[0].as_py(), group.column("cell")[0].as_py()
+        none = np.zeros(0, np.int64)
+        hid, aid = homes.column("id").to_numpy(), asks.column("id").to_numpy()
+        n_home, n_ask = np.zeros(len(hid), np.int64), np.zeros(len(aid), np.int64)
+        found = [(none, none)]
+        if len(hid) and len(aid):
+            d = group.column("dims")[0].as_py()
             grid, bound = grids[d], bounds[d]
             x, y = _unit(homes.column("vec")), _unit(asks.column("vec"))
-            hid, aid = homes.column("id").to_numpy(), asks.column("id").to_numpy()
             hn, an = homes.column("copies").to_numpy(), asks.column("copies").to_numpy()
-            ask_home = grid.gaps(y)[0]
-            for k in range(0, len(y), 512):
-                j, i = np.nonzero(y[k:k + 512] @ x.T >= threshold)
-                j += k
-                apart = aid[j] != hid[i]
-                j, i = j[apart], i[apart]
-                counts.append((aid[j], hn[i]))
+            cells, (first, second) = grid.gaps(y)[0], grid.gaps(x)[1]
+            for k in range(0, len(y), 256):
+                some = slice(k, k + 256)
+                near = (x @ y[some].T >= threshold) & (hid[:, None] != aid[some])
+                n_ask[some] += hn @ near
                 # The other way is counted here only if that search doesn't come this way.
-                alone = ~grid.visited(x[i], ask_home[j], bound)
-                counts.append((hid[i[alone]], an[j[alone]]))
-                found.append(forest(aid[j], hid[i]))
+                c = cells[some]
+                comes = first[:, c // grid.width] + second[:, c % grid.width] <= bound + 1e-9
+                n_home += (near & ~comes) @ an[some]
+                i, j = np.nonzero(near)
+                found.append(forest(aid[some][j], hid[i]))
         a, b = forest(*(np.concatenate(c) for c in zip(*found)))
-        who, n = (np.concatenate(c) for c in zip(*counts))
-        ids, at = np.unique(who, return_inverse=True)
-        n = np.bincount(at, n, len(ids)).astype(np.int64)
+        ids, n = np.concatenate((hid, aid)), np.concatenate((n_home, n_ask))
+        ids, n = ids[n > 0], n[n > 0]
         return pa.table({"counts": pa.array(np.repeat([False, True], [len(a), len(ids)])),
                          "a": pa.array(np.concatenate((a, ids)), pa.int64()),
                          "b": pa.array(np.concatenate((b, n)), pa.int64())})
