@@ -249,19 +249,35 @@ def lookup_places(gazetteer: DataFrame, requests: DataFrame, limit: int = 5) ->
             .select("request_id", "q", "place_no", "name", "full_name", "lat", "lon"))
 
 
-def suggestions(t: Tables, gazetteer: DataFrame, requests: DataFrame) -> DataFrame:
-    """Merged suggestions for a text: 3 areas, 6 stops with coordinates, 3 places."""
+def suggestions(t: Tables, gazetteer: DataFrame, requests: DataFrame, max_areas: int = 3,
+                max_stops: int = 6, max_places: int = 3) -> DataFrame:
+    """Merged suggestions for a text: areas, then stops with coordinates, then places.
+
+    ``group_no`` and ``pos`` give the order; stops carry their id and coordinates, places
+    their full text and coordinates. Of the first ``max_stops`` stops found those without
+    coordinates are left out.
+    """
     asked = requests.select("request_id", F.trim("q").alias("q"))
-    area = top_per(name_hits(areas(t), "area", asked), ["q"], ["area"], 3).select(
-        "q", F.lit("area").alias("kind"), F.col("_rank").alias("pos"), F.col("area").alias("name"))
-    stop = (search_stops(t, asked.select(F.col("q").alias("request_id"), "q").distinct())
-            .filter("rank <= 6 AND lat IS NOT NULL AND lon IS NOT NULL")
-            .select("q", F.lit("stop").alias("kind"), F.col("rank").alias("pos"), "name"))
-    place = (lookup_places(gazetteer, asked.select(F.col("q").alias("request_id"), "q").distinct())
-             .filter("place_no <= 3")
-             .select("q", F.lit("place").alias("kind"), F.col("place_no").alias("pos"), "name"))
+    once = asked.select(F.col("q").alias("request_id"), "q").distinct()
+    no_id, no_text, no_place = (F.lit(None).cast(k) for k in ("bigint", "string", "double"))
+
+    def group(rows, no, kind, pos, name, stop_id=no_id, lat=no_place, lon=no_place, text=no_text):
+        return rows.select("q", F.lit(kind).alias("kind"), F.lit(no).alias("group_no"),
+                           F.col(pos).alias("pos"), F.col(name).alias("name"),
+                           stop_id.alias("stop_id"), lat.alias("lat"), lon.alias("lon"),
+                           text.alias("full_name"))
+
+    at = {"lat": F.col("lat"), "lon": F.col("lon")}
+    area = group(top_per(name_hits(areas(t), "area", asked), ["q"], ["area"], max_areas),
+                 1, "area", "_rank", "area")
+    stop = group(search_stops(t, once, max_stops).filter("lat IS NOT NULL AND lon IS NOT NULL"),
+                 2, "stop", "rank", "name", F.col("stop_id"), **at)
+    # The lookup's own limit holds first: an unreadable row among those hides all of them.
+    found = lookup_places(gazetteer, once).filter(F.col("place_no") <= max_places)
+    place = group(found,
+                  3, "place", "place_no", "name", text=F.col("full_name"), **at)
     every = area.unionByName(stop).unionByName(place)
-    return asked.join(every, "q").select("request_id", "q", "kind", "pos", "name")
+    return asked.join(every, "q").select("request_id", *every.columns)
 
 
 def uncovered_days(options: DataFrame, requests: DataFrame) -> DataFrame:

@@ -218,20 +218,22 @@ def place_lookup(spark, sf):
 
 
 @query("""
-    SELECT request_id, q, kind, pos, name FROM asked JOIN (
-        SELECT a.q, 'area' AS kind,
+    SELECT request_id, q, kind, group_no, pos, name, stop_id, lat, lon, full_name FROM asked JOIN (
+        SELECT a.q, 'area' AS kind, 1 AS group_no,
                CAST(row_number() OVER (PARTITION BY a.q ORDER BY x.area) AS INTEGER) AS pos,
-               x.area AS name
+               x.area AS name, CAST(NULL AS BIGINT) AS stop_id, CAST(NULL AS DOUBLE) AS lat,
+               CAST(NULL AS DOUBLE) AS lon, CAST(NULL AS VARCHAR) AS full_name
         FROM (SELECT DISTINCT q FROM asked) a JOIN area x ON x.area ILIKE '%' || a.q || '%'
         QUALIFY pos <= 3
         UNION ALL
-        SELECT q, 'stop', n, name FROM (
-            SELECT a.q, s.name, s.lat, CAST(row_number() OVER (PARTITION BY a.q
+        SELECT q, 'stop', 2, n, name, id, lat, lon, NULL FROM (
+            SELECT a.q, s.id, s.name, s.lat, s.lon, CAST(row_number() OVER (PARTITION BY a.q
                        ORDER BY s.name ILIKE a.q || '%' DESC, s.name, s.id) AS INTEGER) AS n
             FROM (SELECT DISTINCT q FROM asked) a JOIN stop s ON s.name ILIKE '%' || a.q || '%')
         WHERE n <= 6 AND lat IS NOT NULL
         UNION ALL
-        SELECT q, 'place', place_no, name FROM good WHERE place_no <= 3) USING (q)""", {
+        SELECT q, 'place', 3, place_no, name, NULL, lat, lon, full_name FROM good
+        WHERE place_no <= 3) USING (q)""", {
     **_PLACES,
     "area": """
         SELECT area FROM (SELECT origin AS area FROM route UNION SELECT destination FROM route)
