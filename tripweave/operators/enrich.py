@@ -56,22 +56,9 @@ def apply_geocodes(t: Tables, resolved: DataFrame, at) -> DataFrame:
                     .alias("geocode_source")))
 
 
-def consecutive_stops(t: Tables) -> DataFrame:
-    """Each stop of a schedule with the one printed after it.
-
-    Joined on (schedule, sequence), which stays unique however long a schedule is.
-    """
-    a = t.schedule_stop.select("schedule_id", "stop_sequence",
-                               F.col("stop_id").alias("from_stop_id"))
-    b = t.schedule_stop.select("schedule_id",
-                               (F.col("stop_sequence") - 1).alias("stop_sequence"),
-                               F.col("stop_id").alias("to_stop_id"))
-    return a.join(b, ["schedule_id", "stop_sequence"])
-
-
 def distinct_legs(t: Tables) -> DataFrame:
     """Distinct legs between two different stops that both have coordinates."""
-    pairs = (consecutive_stops(t).filter("from_stop_id <> to_stop_id")
+    pairs = (t.next_stop.filter("from_stop_id <> to_stop_id")
              .select("from_stop_id", "to_stop_id").distinct())
     placed = t.stop.filter("lat IS NOT NULL")
     a = placed.select(F.col("id").alias("from_stop_id"), F.col("lat").alias("from_lat"),

@@ -1,8 +1,10 @@
 """Direct journeys between stops and pins.
 
-Every distinct endpoint is turned into anchors, the places where a trip can be boarded
-or left, and trips with a boarding anchor before an alighting anchor are matched. The
-matches are written once; options, departures, segments and road paths all read them.
+Every distinct endpoint is turned into spots, the places where a schedule passes it. Pairs
+of endpoints meet on schedules; the spots of schedules that both share become anchors, where
+a trip can be boarded or left, and trips with a boarding anchor before an alighting anchor
+are matched. The matches are written once; options, departures, segments and road paths all
+read them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from ..functions.scalars import clock, clock_rounded, day_rank
 from ..session import stored
 from ..sources.tables import Tables
 from .blocks import first_per, running, top_per
-from .enrich import consecutive_stops
 from .journeys import SERVICE, schedule_service
 from .locate import PIN_THRESHOLD_M, locate, stops_near
 
@@ -38,44 +39,66 @@ def floor_minutes() -> Column:
     return F.coalesce("dep_min", F.when(usable, F.col("prior_min")))
 
 
-def stop_anchors(t: Tables, stops: DataFrame) -> DataFrame:
-    """Anchors of named stops: one per visit, at its exact position."""
+def stop_spots(t: Tables, stops: DataFrame) -> DataFrame:
+    """Where schedules list the stops of ``stops`` (key, stop_id): no trips, no cells."""
+    here = t.schedule_stop.select("schedule_id", "stop_sequence", "stop_id")
+    return (stops.join(here, "stop_id")
+            .withColumns({"fraction": F.lit(0.0), "distance_m": F.lit(0.0),
+                          "leg_from": F.col("stop_id"), "leg_to": F.lit(None).cast("bigint")})
+            .drop("stop_id"))
+
+
+def stop_cells(t: Tables, spots: DataFrame) -> DataFrame:
+    """Anchors of ``stop_spots``: one for each trip that serves the row, at its exact position."""
     minutes = floor_minutes()
     guessed = F.col("dep_min").isNull() & minutes.isNotNull()
-    return (stops.select("stop_id").distinct().join(t.visit, "stop_id")
-            .select("stop_id", "schedule_id", "trip_index",
-                    F.col("stop_sequence").cast("double").alias("position"),
-                    minutes.cast("double").alias("minutes"),
-                    F.when(guessed, F.concat(F.lit("from "), clock("prior_min")))
-                    .otherwise(F.col("raw_value")).alias("raw"),
-                    guessed.alias("approx"), F.lit(0.0).alias("distance_m"),
-                    F.col("stop_id").alias("leg_from"), F.lit(None).cast("bigint").alias("leg_to")))
+    cells = t.visit.select("schedule_id", "trip_index", "stop_sequence", "dep_min", "raw_value",
+                           "prior_min", "next_min")
+    return (spots.join(cells, ["schedule_id", "stop_sequence"])
+            .withColumns({"position": F.col("stop_sequence").cast("double"),
+                          "minutes": minutes.cast("double"),
+                          "raw": F.when(guessed, F.concat(F.lit("from "), clock("prior_min")))
+                          .otherwise(F.col("raw_value")), "approx": guessed})
+            .drop("stop_sequence", "fraction", "dep_min", "raw_value", "prior_min", "next_min"))
 
 
-def leg_cells(t: Tables, legs: DataFrame) -> DataFrame:
-    """Trips that serve both ends of a leg on consecutive rows.
+def stop_anchors(t: Tables, stops: DataFrame) -> DataFrame:
+    """Anchors of named stops: one per visit, at its exact position."""
+    ids = stops.select("stop_id").distinct().withColumn("place", F.col("stop_id"))
+    return stop_cells(t, stop_spots(t, ids)).withColumnRenamed("place", "stop_id")
 
-    Legs meet schedules first, where a leg is one row, and cells only after that.
-    """
-    on_leg = legs.select("from_stop_id", "to_stop_id").distinct()
-    rows = consecutive_stops(t).join(on_leg, ["from_stop_id", "to_stop_id"])
+
+def pin_spots(t: Tables, legs: DataFrame) -> DataFrame:
+    """Where schedules run along the legs near pins (``locate``): no trips, no cells."""
+    near = legs.select("request_id", "from_stop_id", "to_stop_id", "fraction", "distance_m")
+    return (near.join(t.next_stop, ["from_stop_id", "to_stop_id"])
+            .withColumnsRenamed({"from_stop_id": "leg_from", "to_stop_id": "leg_to"}))
+
+
+def leg_cells(t: Tables, rows: DataFrame) -> DataFrame:
+    """Trips that serve both ends of the leg after each (schedule_id, stop_sequence)."""
     a = t.visit.select("schedule_id", "trip_index", "stop_sequence", F.col("dep_min").alias("m_a"))
     b = t.visit.select("schedule_id", "trip_index", (F.col("stop_sequence") - 1).alias("stop_sequence"),
                        F.col("dep_min").alias("m_b"))
-    return (rows.join(a, ["schedule_id", "stop_sequence"])
+    return (rows.select("schedule_id", "stop_sequence").distinct()
+            .join(a, ["schedule_id", "stop_sequence"])
             .join(b, ["schedule_id", "trip_index", "stop_sequence"]))
 
 
-def pin_anchors(t: Tables, legs: DataFrame) -> DataFrame:
-    """Anchors of pins, from ``locate``: a fraction along a leg, time interpolated."""
+def pin_cells(t: Tables, spots: DataFrame) -> DataFrame:
+    """Anchors of ``pin_spots``: a fraction along a leg, time interpolated."""
     f, a, b = F.col("fraction"), F.col("m_a"), F.col("m_b")
     minutes = F.coalesce(a + f * (b - a), a.cast("double"), b.cast("double"))
-    return (legs.join(leg_cells(t, legs), ["from_stop_id", "to_stop_id"])
-            .select("request_id", "schedule_id", "trip_index",
-                    (F.col("stop_sequence") + f).alias("position"), minutes.alias("minutes"),
-                    F.coalesce(clock_rounded(minutes), F.lit("via")).alias("raw"),
-                    F.lit(True).alias("approx"), "distance_m", F.col("from_stop_id").alias("leg_from"),
-                    F.col("to_stop_id").alias("leg_to")))
+    return (spots.join(leg_cells(t, spots), ["schedule_id", "stop_sequence"])
+            .withColumns({"position": F.col("stop_sequence") + f, "minutes": minutes})
+            .withColumns({"raw": F.coalesce(clock_rounded("minutes"), F.lit("via")),
+                          "approx": F.lit(True)})
+            .drop("stop_sequence", "fraction", "m_a", "m_b"))
+
+
+def pin_anchors(t: Tables, legs: DataFrame) -> DataFrame:
+    """Anchors of pins, from ``locate``."""
+    return pin_cells(t, pin_spots(t, legs))
 
 
 def labelled(t: Tables, df: DataFrame, leg_from: str, leg_to: str, label: str) -> DataFrame:
@@ -96,13 +119,39 @@ def _place(side: str) -> Column:
         F.concat(F.lit("pin:"), lat.cast("string"), F.lit(":"), lon.cast("string")))
 
 
-def endpoint_anchors(t: Tables, places: DataFrame, threshold: float) -> DataFrame:
-    """Anchors of distinct endpoints (place, stop_id, lat, lon), stops and pins alike."""
+def endpoint_spots(t: Tables, places: DataFrame, threshold: float) -> DataFrame:
+    """Where schedules pass distinct endpoints (place, stop_id, lat, lon), stops and pins alike.
+
+    Spots of pins have a ``leg_to``, those of stops have none.
+    """
     stops = places.filter("stop_id IS NOT NULL").select("place", "stop_id")
-    from_stops = stops.join(stop_anchors(t, stops), "stop_id").drop("stop_id")
     pins = places.filter("stop_id IS NULL").select(F.col("place").alias("request_id"), "lat", "lon")
     legs = stored(locate(t, pins, threshold), "pin_legs")
-    return from_stops.unionByName(pin_anchors(t, legs).withColumnRenamed("request_id", "place"))
+    return stop_spots(t, stops).unionByName(
+        pin_spots(t, legs).withColumnRenamed("request_id", "place"))
+
+
+_SCHEDULE = ["place", "schedule_id"]
+
+
+def shared_schedules(spots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(f_place, t_place, schedule_id): schedules that pass the second endpoint of a pair
+    later than the first one somewhere."""
+    at = F.col("stop_sequence") + F.col("fraction")
+    reach = spots.groupBy(*_SCHEDULE).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    f = reach.select(F.col("place").alias("f_place"), "schedule_id", "low")
+    to = reach.select(F.col("place").alias("t_place"), "schedule_id", "high")
+    return (pairs.join(f, "f_place").join(to, ["t_place", "schedule_id"])
+            .filter("high > low").select("f_place", "t_place", "schedule_id"))
+
+
+def spot_anchors(t: Tables, spots: DataFrame, shared: DataFrame) -> DataFrame:
+    """Anchors of the spots whose schedule some pair shares: only these read cells."""
+    wanted = shared.select(F.col("f_place").alias("place"), "schedule_id").union(
+        shared.select("t_place", "schedule_id")).distinct()
+    used = spots.join(wanted, _SCHEDULE, "left_semi")
+    return stop_cells(t, used.filter("leg_to IS NULL")).unionByName(
+        pin_cells(t, used.filter("leg_to IS NOT NULL")))
 
 
 # Equal positions go to the nearer leg, then to the lower stop ids.
@@ -117,7 +166,7 @@ def _side(anchors: DataFrame, place: str, prefix: str) -> DataFrame:
         ("position", "minutes", "raw", "approx", "distance_m", "leg_from", "leg_to")])
 
 
-def match_trips(anchors: DataFrame, pairs: DataFrame) -> DataFrame:
+def match_trips(anchors: DataFrame, shared: DataFrame) -> DataFrame:
     """One row per (endpoint pair, trip): the earliest boarding anchor and the first
     alighting anchor after it that is at most a minute early."""
     board = first_per(anchors, ["place", *_TRIP], _FIRST)
@@ -125,10 +174,6 @@ def match_trips(anchors: DataFrame, pairs: DataFrame) -> DataFrame:
     later = ((F.col("a_position") > F.col("b_position"))
              & (F.col("a_minutes").isNull() | F.col("b_minutes").isNull()
                 | (F.col("a_minutes") >= F.col("b_minutes") - 1)))
-    # Endpoints meet on schedules first, trip by trip only on those both are near.
-    near = anchors.select("place", "schedule_id").distinct()
-    shared = (pairs.join(near.withColumnRenamed("place", "f_place"), "f_place")
-              .join(near.withColumnRenamed("place", "t_place"), ["t_place", "schedule_id"]))
     met = (shared.join(b, ["f_place", "schedule_id"]).join(a, ["t_place", *_TRIP]).filter(later))
     return first_per(met, [*_ENDS, *_TRIP], [f"a_{c}" for c in _FIRST])
 
@@ -159,8 +204,11 @@ def plan(t: Tables, requests: DataFrame, threshold: float = PIN_THRESHOLD_M) ->
         return valid.select(F.col(place).alias("place"), stop.alias("stop_id"), *[
             F.when(stop.isNull(), F.col(f"{side}_{c}")).alias(c) for c in ("lat", "lon")])
     places = end("f_place", "from").union(end("t_place", "to")).distinct()
-    anchors = stored(endpoint_anchors(t, places, threshold), "anchors")
-    matched = match_trips(anchors, pairs).join(
+    # Endpoints meet on schedules first; cells are read only for schedules that both share.
+    spots = stored(endpoint_spots(t, places, threshold), "spots")
+    shared = stored(shared_schedules(spots, pairs), "shared")
+    anchors = stored(spot_anchors(t, spots, shared), "anchors")
+    matched = match_trips(anchors, shared).join(
         schedule_service(t).drop("timetable_id", "route_id"), "schedule_id")
     matches = stored(matched, "matches")
 
@@ -231,10 +279,7 @@ def _road_points(t: Tables, lead: DataFrame, key: list[str]) -> DataFrame:
         F.when(a > F.floor(a), F.floor(a) + 1).otherwise(F.floor(a)).alias("hi"),
         (b - F.floor(b)).alias("head"), (a - F.floor(a)).alias("tail"))
     st = t.stop.select("id", "lat", "lon")
-    first = t.schedule_stop.select("schedule_id", F.col("stop_sequence").alias("leg_no"),
-                                   F.col("stop_id").alias("from_stop_id"))
-    second = t.schedule_stop.select("schedule_id", (F.col("stop_sequence") - 1).alias("leg_no"),
-                                    F.col("stop_id").alias("to_stop_id"))
+    legs = t.next_stop.withColumnRenamed("stop_sequence", "leg_no")
     sa = st.select(F.col("id").alias("from_stop_id"), F.struct("lat", "lon").alias("p_a"))
     sb = st.select(F.col("id").alias("to_stop_id"), F.struct("lat", "lon").alias("p_b"))
     g = t.leg_geometry.select("from_stop_id", "to_stop_id", F.col("path").alias("road"))
@@ -244,8 +289,7 @@ def _road_points(t: Tables, lead: DataFrame, key: list[str]) -> DataFrame:
     start = F.when(F.col("leg_no") == F.col("lo"), F.col("head")).otherwise(F.lit(0.0))
     end = F.when((F.col("leg_no") == F.col("hi") - 1) & (F.col("tail") > 0),
                  F.col("tail")).otherwise(F.lit(1.0))
-    pieces = (ends.join(first, "schedule_id").filter("leg_no >= lo AND leg_no < hi")
-              .join(second, ["schedule_id", "leg_no"])
+    pieces = (ends.join(legs, "schedule_id").filter("leg_no >= lo AND leg_no < hi")
               .join(sa, "from_stop_id").join(sb, "to_stop_id")
               .join(g, ["from_stop_id", "to_stop_id"], "left")
               .withColumn("piece", geo.slice_path(path, start, end))
@@ -271,7 +315,8 @@ def _previous(rows: DataFrame, key: list[str]) -> DataFrame:
 def reachable_from_pins(t: Tables, pins: DataFrame, threshold: float = PIN_THRESHOLD_M) -> DataFrame:
     """Stops downstream of each pin on one bus, with the number of trips."""
     legs = stored(locate(t, pins, threshold), "pin_legs")
-    at = (legs.join(leg_cells(t, legs), ["from_stop_id", "to_stop_id"])
+    spots = stored(pin_spots(t, legs), "pin_spots")
+    at = (spots.join(leg_cells(t, spots), ["schedule_id", "stop_sequence"])
           .groupBy("request_id", *_TRIP)
           .agg(F.min(F.col("stop_sequence") + F.col("fraction")).alias("pos")))
     cells = t.visit.select(*_TRIP, "stop_sequence", "stop_id")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 _I, _S, _D, _B = T.LongType(), T.StringType(), T.DoubleType(), T.BooleanType()
 _N, _DT, _TS = T.IntegerType(), T.DateType(), T.TimestampType()
 POINT = T.StructType([T.StructField("lat", _D), T.StructField("lon", _D)])
@@ -70,6 +73,22 @@ class Tables:
             self._built[name] = self._builders[name]()
         return self._built[name]
 
+    @property
+    def next_stop(self) -> DataFrame:
+        """Each stop of a schedule with the one printed after it, written once for a table set.
+
+        Joined on (schedule, sequence), which stays unique however long a schedule is.
+        """
+        if "next_stop" not in self._built:
+            here = self.schedule_stop.select("schedule_id", "stop_sequence",
+                                             F.col("stop_id").alias("from_stop_id"))
+            after = self.schedule_stop.select(
+                "schedule_id", (F.col("stop_sequence") - 1).alias("stop_sequence"),
+                F.col("stop_id").alias("to_stop_id"))
+            self._built["next_stop"] = stored(
+                here.join(after, ["schedule_id", "stop_sequence"]), "next_stop")
+        return self._built["next_stop"]
+
     def names(self) -> list[str]:
         return list(self._builders)
 
