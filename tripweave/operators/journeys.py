@@ -36,13 +36,19 @@ def journey_status(t: Tables, requests: DataFrame) -> DataFrame:
 
 
 def _shared_schedules(t: Tables, pairs: DataFrame) -> DataFrame:
-    """Schedules listing both stops of a pair, the second later."""
+    """Schedules listing both stops of a pair, the second later.
+
+    Wanted origins and destinations meet on the schedules they share before pairs are looked
+    at, so a busy stop's schedules are never multiplied by the pairs that ask for it.
+    """
     a = t.schedule_stop.select(F.col("stop_id").alias("from_id"), "schedule_id",
                                F.col("stop_sequence").alias("from_seq"))
     b = t.schedule_stop.select(F.col("stop_id").alias("to_id"), "schedule_id",
                                F.col("stop_sequence").alias("to_seq"))
-    return (pairs.join(a, "from_id").join(b, ["to_id", "schedule_id"])
-            .filter("to_seq > from_seq"))
+    met = (a.join(pairs.select("from_id").distinct(), "from_id", "left_semi")
+           .join(b.join(pairs.select("to_id").distinct(), "to_id", "left_semi"), "schedule_id")
+           .filter("to_seq > from_seq"))
+    return met.join(pairs.select(*PAIR), PAIR)
 
 
 def pair_rides(t: Tables, pairs: DataFrame) -> DataFrame:
