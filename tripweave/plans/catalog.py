@@ -35,18 +35,23 @@ def route_search(spark, sf):
 
 
 @query("""
-    SELECT CAST(n_nationkey AS BIGINT) AS request_id,
-           CASE WHEN r.id IS NULL THEN 'route not found' ELSE 'ok' END AS status,
-           CAST(2 * n_nationkey AS BIGINT) AS route_id, r.name AS route_name, r.origin,
+    SELECT request_id, CASE WHEN r.id IS NULL THEN 'route not found' ELSE 'ok' END AS status,
+           asked_id AS route_id, r.name AS route_name, r.origin,
            r.destination, r.letter_group, t.id AS timetable_id, t.timetable_number,
            t.is_public_holiday, CAST(t.effective_from AS VARCHAR) AS effective_from,
            CAST(t.effective_to AS VARCHAR) AS effective_to, t.pdf_filename, t.pdf_url,
            t.page_count, t.parse_status
-    FROM nation LEFT JOIN route r ON r.id = 2 * n_nationkey
+    FROM (SELECT CAST(n_nationkey AS BIGINT) AS request_id, CAST(n_nationkey AS BIGINT) AS asked_id
+          FROM nation
+          UNION ALL SELECT CAST(-1 - n_nationkey AS BIGINT), CAST(-1 - n_nationkey AS BIGINT)
+          FROM nation)
+    LEFT JOIN route r ON r.id = asked_id
     LEFT JOIN timetable t ON t.route_id = r.id""")
 def route_timetables(spark, sf):
+    """Every route, and as many ids that no route has."""
     n = F.col("n_nationkey").cast("bigint")
-    req = read(spark, sf, "nation").select(n.alias("request_id"), (n * 2).alias("route_id"))
+    req = read(spark, sf, "nation").select(F.explode(F.array(n, -1 - n)).alias("request_id"))
+    req = req.withColumn("route_id", F.col("request_id"))
     return C.route_detail(load(spark, sf), req).orderBy(*C.route_detail_order())
 
 
@@ -132,23 +137,27 @@ def areas(spark, sf):
     return C.areas(load(spark, sf))
 
 
+_DAY_NO = """CASE sc.day_type WHEN 'WEEKDAY' THEN 0 WHEN 'SATURDAY' THEN 1 WHEN 'SUNDAY' THEN 2
+                              WHEN 'PUBLIC_HOLIDAY' THEN 3 ELSE 4 END"""
+
+
 @query(f"""
-    SELECT st.stop_id AS request_id, st.stop_id, sc.day_type, st.schedule_id, st.trip_index,
+    SELECT 5 * st.stop_id + {_DAY_NO} AS request_id, st.stop_id, sc.day_type, st.schedule_id, st.trip_index,
            r.name AS route_name, sc.direction_label, {hhmm('st.dep_min')} AS departure_time
     FROM stop_time st JOIN schedule sc ON sc.id = st.schedule_id
     JOIN timetable t ON t.id = sc.timetable_id JOIN route r ON r.id = t.route_id
-    WHERE sc.day_type = 'WEEKDAY' AND st.cell_type = 'TIME'""")
+    WHERE st.cell_type = 'TIME'""")
 def departure_board(spark, sf):
-    return C.departure_board(load(spark, sf), R.stop_requests(spark, sf))
+    return C.departure_board(load(spark, sf), R.each_day(R.stop_requests(spark, sf)))
 
 
-@query("""
-    SELECT sc.timetable_id AS request_id, sc.timetable_id, st.schedule_id, st.trip_index,
+@query(f"""
+    SELECT 5 * sc.timetable_id + {_DAY_NO} AS request_id, sc.timetable_id, st.schedule_id, st.trip_index,
            st.stop_sequence, s.name AS stop_name, st.raw_value
     FROM stop_time st JOIN schedule sc ON sc.id = st.schedule_id
-    JOIN stop s ON s.id = st.stop_id WHERE sc.day_type = 'WEEKDAY'""")
+    JOIN stop s ON s.id = st.stop_id""")
 def printed_grid(spark, sf):
-    return C.printed_grid(load(spark, sf), R.timetable_requests(spark, sf))
+    return C.printed_grid(load(spark, sf), R.each_day(R.timetable_requests(spark, sf)))
 
 
 def _slot(i):

@@ -121,11 +121,12 @@ def direct_service(spark, sf):
     return J.direct_service(load(spark, sf), req)
 
 
-_RIDE = {"asked": """
-    SELECT o_orderkey AS request_id, o_orderkey AS schedule_id,
-           (3 * o_orderkey) % (o_orderkey % 4 + 1) AS trip_index, 1 AS from_seq,
-           o_orderkey % 5 + 3 AS to_seq
-    FROM orders"""}
+# Every trip of every schedule: the whole of most, a part of second trips.
+ASKED_RIDES = {"asked": """
+    SELECT 4 * schedule_id + trip_index AS request_id, schedule_id, trip_index,
+           trip_index % 2 AS from_seq,
+           CASE WHEN trip_index = 1 THEN schedule_id % 5 + 3 ELSE 1099511627776 END AS to_seq
+    FROM trip"""}
 
 
 @query(f"""
@@ -138,17 +139,16 @@ _RIDE = {"asked": """
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS arg_max_last
           FROM asked a JOIN visit c ON c.schedule_id = a.schedule_id AND c.trip_index = a.trip_index
                                    AND c.stop_sequence BETWEEN a.from_seq AND a.to_seq
-          JOIN stop s ON s.id = c.stop_id)""", _RIDE)
+          JOIN stop s ON s.id = c.stop_id)""", ASKED_RIDES)
 def trip_travel_order(spark, sf):
-    return T.trip_stops(load(spark, sf), R.ride_requests(spark, sf)).orderBy(
-        "request_id", F.asc_nulls_last("travel_key"), "stop_sequence")
+    return T.trip_stops(load(spark, sf), R.ride_requests(spark, sf))
 
 
 @query("""
     SELECT DISTINCT a.request_id, a.schedule_id, a.trip_index, n.code, n.description
     FROM asked a JOIN stop_time c ON c.schedule_id = a.schedule_id AND c.trip_index = a.trip_index
     JOIN schedule sc ON sc.id = a.schedule_id
-    JOIN timetable_note n ON n.timetable_id = sc.timetable_id AND n.code = c.note_code""", _RIDE)
+    JOIN timetable_note n ON n.timetable_id = sc.timetable_id AND n.code = c.note_code""", ASKED_RIDES)
 def trip_notes(spark, sf):
     return T.trip_notes(load(spark, sf), R.ride_requests(spark, sf))
 

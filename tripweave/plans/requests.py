@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.network import grid_point, read
+from ..sources.network import DAYS, grid_point, read
 
 
 def od_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,22 +25,30 @@ def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timetable_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(
-        c.alias("request_id"), c.alias("timetable_id"), F.lit("WEEKDAY").alias("day_type"))
+    return read(spark, sf_dir, "customer").select(c.alias("request_id"), c.alias("timetable_id"))
 
 
 def stop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    return read(spark, sf_dir, "part").select(
-        p.alias("request_id"), p.alias("stop_id"), F.lit("WEEKDAY").alias("day_type"))
+    return read(spark, sf_dir, "part").select(p.alias("request_id"), p.alias("stop_id"))
+
+
+def each_day(requests: DataFrame) -> DataFrame:
+    """The requests once for every day type; request ids become five times the id plus the
+    day's place."""
+    days = F.array(*(F.lit(d) for d, _ in DAYS.values()))
+    return (requests.select("*", F.posexplode(days).alias("_n", "day_type"))
+            .withColumn("request_id", F.col("request_id") * len(DAYS) + F.col("_n")).drop("_n"))
 
 
 def ride_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trip of every schedule, from its second stop on."""
-    o = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").select(
-        o.alias("request_id"), o.alias("schedule_id"), ((o * 3) % (o % 4 + 1)).alias("trip_index"),
-        F.lit(1).cast("bigint").alias("from_seq"), (o % 5 + 3).alias("to_seq"))
+    """Every trip of every schedule: the whole of most, a part of second trips."""
+    o, i = F.col("schedule_id"), F.col("trip_index")
+    trips = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("schedule_id"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("o_orderkey") % 4)).alias("trip_index"))
+    return trips.select((o * 4 + i).alias("request_id"), o, i, (i % 2).alias("from_seq"),
+                        F.when(i == 1, o % 5 + 3).otherwise(F.lit(1 << 40)).alias("to_seq"))
 
 
 def name_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import merge as G
 from ..sources.network import load, read
 from . import requests as R
 from .ingest import parsed
-from .journeys import EVERY_LEG
+from .journeys import ASKED_RIDES, EVERY_LEG
 from .registry import query
 
 AT = "2026-02-01 00:00:00"
@@ -282,7 +282,7 @@ def connection_durations(spark, sf):
 
 
 def _strips(spark, sf):
-    """One trip of every schedule, ridden from its second stop to its fourth; every third
+    """Every trip of every schedule, ridden from its second stop to its fourth; every third
     ride ends at a pin, every other starts at one."""
     o = F.col("request_id")
     zero = F.lit(0).cast("bigint")
@@ -293,14 +293,13 @@ def _strips(spark, sf):
         F.lit("from 06:00").alias("board_time"), F.lit("07:00").alias("alight_time"))
 
 
-_STRIP = {"ordered": """
-    SELECT o_orderkey AS request_id, v.stop_sequence AS seq, s.name, v.cell_type, v.raw_value,
-           coalesce(first_value(dep_min IGNORE NULLS) OVER (PARTITION BY o_orderkey ORDER BY stop_sequence
+_STRIP = {**ASKED_RIDES, "ordered": """
+    SELECT request_id, v.stop_sequence AS seq, s.name, v.cell_type, v.raw_value,
+           coalesce(first_value(dep_min IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY stop_sequence
                         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
-                    last_value(dep_min IGNORE NULLS) OVER (PARTITION BY o_orderkey ORDER BY stop_sequence
+                    last_value(dep_min IGNORE NULLS) OVER (PARTITION BY request_id ORDER BY stop_sequence
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS k
-    FROM orders JOIN visit v ON v.schedule_id = o_orderkey
-         AND v.trip_index = (3 * o_orderkey) % (o_orderkey % 4 + 1)
+    FROM asked a JOIN visit v ON v.schedule_id = a.schedule_id AND v.trip_index = a.trip_index
     JOIN stop s ON s.id = v.stop_id""",
     "placed": """
     SELECT *, row_number() OVER w - 1 AS n, lead(seq) OVER w AS next_seq,
@@ -347,22 +346,24 @@ def result_diff(spark, sf):
 
 
 @query("""
-    SELECT o_orderkey AS pair_id, coalesce(same, false) AS same
-    FROM orders LEFT JOIN (
-        SELECT schedule_id, bool_and(coalesce(x = y AND cx = 1 AND cy = 1, false)) AS same FROM (
-            SELECT schedule_id, stop_sequence, max(CASE WHEN trip_index = 0 THEN raw_value END) AS x,
-                   max(CASE WHEN trip_index = schedule_id % 4 THEN raw_value END) AS y,
-                   count(CASE WHEN trip_index = 0 THEN 1 END) AS cx,
-                   count(CASE WHEN trip_index = schedule_id % 4 THEN 1 END) AS cy
-            FROM visit WHERE trip_index = 0 OR trip_index = schedule_id % 4
-            GROUP BY schedule_id, stop_sequence) GROUP BY schedule_id) v
-      ON v.schedule_id = o_orderkey""")
+    SELECT 4 * t.schedule_id + t.trip_index AS pair_id, coalesce(same, false) AS same
+    FROM trip t LEFT JOIN (
+        SELECT schedule_id, i, bool_and(coalesce(x = y AND cx = 1 AND cy = 1, false)) AS same FROM (
+            SELECT v.schedule_id, w.trip_index AS i, stop_sequence,
+                   max(CASE WHEN v.trip_index = 0 THEN raw_value END) AS x,
+                   max(CASE WHEN v.trip_index = w.trip_index THEN raw_value END) AS y,
+                   count(CASE WHEN v.trip_index = 0 THEN 1 END) AS cx,
+                   count(CASE WHEN v.trip_index = w.trip_index THEN 1 END) AS cy
+            FROM trip w JOIN visit v ON v.schedule_id = w.schedule_id
+                                    AND v.trip_index IN (0, w.trip_index)
+            GROUP BY v.schedule_id, w.trip_index, stop_sequence) GROUP BY schedule_id, i) u
+      ON u.schedule_id = t.schedule_id AND u.i = t.trip_index""")
 def equal_rides(spark, sf):
-    """Whether the first and last trip of each schedule look alike."""
-    o, zero = F.col("o_orderkey"), F.lit(0).cast("bigint")
+    """Whether each trip of a schedule looks like the first one."""
+    o, zero = F.col("schedule_id"), F.lit(0).cast("bigint")
     end = F.lit(1 << 40)
-    pairs = read(spark, sf, "orders").select(
-        o.alias("pair_id"), o.alias("a_schedule_id"), zero.alias("a_trip_index"), zero.alias("a_from_seq"),
-        end.alias("a_to_seq"), o.alias("b_schedule_id"), (o % 4).alias("b_trip_index"),
-        zero.alias("b_from_seq"), end.alias("b_to_seq"))
+    pairs = R.ride_requests(spark, sf).select(
+        F.col("request_id").alias("pair_id"), o.alias("a_schedule_id"), zero.alias("a_trip_index"),
+        zero.alias("a_from_seq"), end.alias("a_to_seq"), o.alias("b_schedule_id"),
+        F.col("trip_index").alias("b_trip_index"), zero.alias("b_from_seq"), end.alias("b_to_seq"))
     return D.equal_breakdowns(load(spark, sf), pairs)

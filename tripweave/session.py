@@ -50,6 +50,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application writes: one folder under the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes all that this application has ``stored``; call it when its results are out.
+
+    Frames made before can't be read afterwards. Folders of other applications stay.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, *sort: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at the files.
 
@@ -58,7 +72,7 @@ def stored(df: DataFrame, name: str, *sort: str) -> DataFrame:
     full column list, so one hot leading value still spreads over many files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if sort:
         df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     df.write.parquet(path)

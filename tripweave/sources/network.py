@@ -120,18 +120,12 @@ def _schedule(src, stops: DataFrame):
 def _schedule_stop(src):
     """One row per (order, part), numbered by first line then part.
 
-    Orders with more lines than a block are numbered piecewise by part-key range, all
-    others in one pass.
+    Line numbers are an order's own key, so a block of numbers holds a block of lines.
     """
     lines = (src("lineitem").groupBy("l_orderkey", "l_partkey")
              .agg(F.min("l_linenumber").alias("first_line")))
-    long = (src("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > BLOCK).select("l_orderkey", F.lit(True).alias("is_long")))
-    bucket = F.when(F.col("is_long"), F.struct(
-        F.col("first_line"), F.floor(F.col("l_partkey") / BLOCK).alias("r"))).otherwise(
-        F.struct(F.lit(0).alias("first_line"), F.lit(0).cast("bigint").alias("r")))
-    return (numbered(lines.join(long, "l_orderkey", "left"), ["l_orderkey"],
-                     ["first_line", "l_partkey"], bucket, "seq")
+    block = F.floor(F.col("first_line") / BLOCK)
+    return (numbered(lines, ["l_orderkey"], ["first_line", "l_partkey"], block, "seq")
             .select(F.col("l_orderkey").alias("schedule_id"),
                     F.col("seq").cast("bigint").alias("stop_sequence"),
                     F.col("l_partkey").alias("stop_id")))
