@@ -2,8 +2,8 @@
 
 A plain window sorts each group in one task, which fails when one group holds a large
 share of the rows. These helpers cut a group into blocks of consecutive positions, run
-the window per block, and carry a one-row summary of each block across to the next. A
-group that fits one block produces no carry rows, so the usual case costs one window.
+the window per block, and carry a one-row summary of each block across to the next. That
+costs one more aggregation and a join of the summaries, whatever the size of the groups.
 """
 
 from __future__ import annotations

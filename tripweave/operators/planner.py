@@ -138,7 +138,8 @@ def shared_schedules(spots: DataFrame, pairs: DataFrame) -> DataFrame:
     """(f_place, t_place, schedule_id): schedules that pass the second endpoint of a pair
     later than the first one somewhere."""
     at = F.col("stop_sequence") + F.col("fraction")
-    reach = spots.groupBy(*_SCHEDULE).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    reach = stored(spots.groupBy(*_SCHEDULE).agg(F.min(at).alias("low"), F.max(at).alias("high")),
+                   "reach")
     f = reach.select(F.col("place").alias("f_place"), "schedule_id", "low")
     to = reach.select(F.col("place").alias("t_place"), "schedule_id", "high")
     return (pairs.join(f, "f_place").join(to, ["t_place", "schedule_id"])
