@@ -292,11 +292,8 @@ def test_leg_geometry_upsert(spark):
 def test_trimmed_connections_are_exact(spark, search):
     """The best two journeys of a pair are the first two of all its journeys: dropping first
     parts on the way loses none, where many pairs have more than two."""
-    from tripweave.plans import requests as R
-    from tripweave.sources.network import load
-    sf = "/root/testdata/sf0.001"
-    t, run = load(spark, sf), getattr(connect, search)
-    pairs = R.od_requests(spark, sf).select("from_id", "to_id").distinct()
+    t, run = load(spark, SF), getattr(connect, search)
+    pairs = R.od_requests(spark, SF).select("from_id", "to_id").distinct()
     every = [tuple(r) for r in run(t, pairs, 10, 1 << 20).collect()]
     at = run(t, pairs, 10, 2).columns.index("_rank")
     assert sum(r[at] > 2 for r in every) > 0
