@@ -115,24 +115,23 @@ def slice_path(path, start_f, end_f) -> Column:
     hi = F.greatest(F.lit(0.0), F.least(F.lit(1.0), e))
     nothing = F.slice(p, F.lit(1), F.lit(0))
 
-    lengths = F.transform(segments(p), lambda g: F.struct(
-        g["a"].alias("a"), g["b"].alias("b"),
-        haversine_m(g["a"]["lat"], g["a"]["lon"], g["b"]["lat"], g["b"]["lon"]).alias("m")))
+    lengths = F.transform(segments(p), lambda g: haversine_m(
+        g["a"]["lat"], g["a"]["lon"], g["b"]["lat"], g["b"]["lon"]))
 
     def cut(ms):
-        total = F.aggregate(ms, F.lit(0.0), lambda acc, g: acc + g["m"])
-        starts = F.transform(ms, lambda g, i: F.struct(
-            g["a"].alias("a"), g["b"].alias("b"), g["m"].alias("m"),
-            F.aggregate(F.slice(ms, F.lit(1), i), F.lit(0.0),
-                        lambda acc, h: acc + h["m"]).alias("at")))
-        ridden = F.filter(starts, lambda g: (g["m"] > 0) & (g["at"] + g["m"] >= lo * total)
-                          & (g["at"] <= hi * total))
-        ends = F.flatten(F.transform(ridden, lambda g: F.array(
-            _on_segment(g, (lo * total - g["at"]) / g["m"]),
-            _on_segment(g, (hi * total - g["at"]) / g["m"]))))
-        points = _bind(ends, lambda pts: F.filter(
+        total = F.aggregate(ms, F.lit(0.0), lambda acc, m: acc + m)
+        return _bind(total, lambda whole: F.when(whole > 0, _bind(
+            F.aggregate(ms, _uncut(), lambda acc, m: _walk(acc, m, lo * whole, hi * whole)), ridden))
+            .otherwise(F.slice(p, F.lit(1), F.lit(1))))
+
+    def ridden(w):
+        """From the cut in segment ``first`` over the points between to that in ``last``."""
+        points = F.concat(
+            F.array(_on_segment(p, w["first"], F.when(lo > 0, w["first_t"]).otherwise(0.0))),
+            F.slice(p, w["first"] + 1, w["last"] - w["first"]),
+            F.array(_on_segment(p, w["last"], F.when(hi < 1, w["last_t"]).otherwise(1.0))))
+        return _bind(points, lambda pts: F.filter(
             pts, lambda q, i: (i == 0) | (q != F.try_element_at(pts, F.greatest(i, F.lit(1))))))
-        return F.when(total > 0, points).otherwise(F.slice(p, F.lit(1), F.lit(1)))
 
     return (F.when(p.isNull(), F.lit(None))
             .when(F.size(p) < 2, p)
@@ -141,8 +140,30 @@ def slice_path(path, start_f, end_f) -> Column:
             .otherwise(_bind(lengths, cut)))
 
 
-def _on_segment(g: Column, t: Column) -> Column:
-    return (F.when(t <= 0, g["a"]).when(t >= 1, g["b"]).otherwise(along(g["a"], g["b"], t)))
+def _uncut() -> Column:
+    """Metres and segments walked, and the segments that hold the two cuts (0: not met yet)."""
+    return F.struct(F.lit(0.0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("first"),
+                    F.lit(0.0).alias("first_t"), F.lit(0).alias("last"), F.lit(0.0).alias("last_t"))
+
+
+def _walk(acc: Column, m: Column, low: Column, high: Column) -> Column:
+    """One segment of ``m`` metres further: is it the first that reaches ``low``, is it the
+    last that begins by ``high``?"""
+    at, n = acc["at"], acc["n"] + 1
+    opens = (m > 0) & (acc["first"] == 0) & (at + m >= low)
+    closes = (m > 0) & (at <= high)
+    return F.struct(
+        (at + m).alias("at"), n.alias("n"),
+        F.when(opens, n).otherwise(acc["first"]).alias("first"),
+        F.when(opens, (low - at) / m).otherwise(acc["first_t"]).alias("first_t"),
+        F.when(closes, n).otherwise(acc["last"]).alias("last"),
+        F.when(closes, (high - at) / m).otherwise(acc["last_t"]).alias("last_t"))
+
+
+def _on_segment(p: Column, n: Column, t: Column) -> Column:
+    """The point at ``t`` of segment ``n``; its own ends at 0 and below, 1 and above."""
+    a, b = F.element_at(p, n), F.element_at(p, n + 1)
+    return F.when(t <= 0, a).when(t >= 1, b).otherwise(along(a, b, t))
 
 
 def join_paths(paths) -> Column:

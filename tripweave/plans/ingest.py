@@ -172,10 +172,20 @@ def network_lines(t):
     b = rows.filter(wide).select(
         "pdf_filename", "page_number", (F.col("n") + 3 + F.col("stop_sequence")).alias("line_no"),
         F.concat(F.lit("| "), F.concat_ws(" | ", "name", "c2", "c3"), F.lit(" |")).alias("line"))
-    return fixed.unionByName(a).unionByName(b)
-
-
-_PARSED = {"live": """
+    # Files of two blank pages, and files dated with a day there is not.
+    k = F.col("id")
+    blank = t.timetable.filter(k % 10 == 3).select(
+        F.concat(F.lit("BLANK"), k.cast("string"), F.lit(".pdf")).alias("pdf_filename"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("page_number"),
+        F.lit(0).cast("bigint").alias("line_no"), F.lit(" ").alias("line"))
+    wrong = t.timetable.filter(k % 10 == 7).select(
+        F.concat(F.lit("BAD"), k.cast("string"), F.lit(".pdf")).alias("pdf_filename"),
+        F.lit(1).cast("bigint").alias("page_number"), F.lit(0).cast("bigint").alias("line_no"),
+        F.lit("SUNDAYS EFFECTIVE DATE: 2026/02/30 TIMETABLE NUMBER: 0012 34").alias("line"))
+    return fixed.unionByName(a).unionByName(b).unionByName(blank).unionByName(wrong)
+
+
+PARSED = {"live": """
     SELECT schedule_id, trip_index,
            row_number() OVER (PARTITION BY schedule_id ORDER BY trip_index) - 1 AS new_index
     FROM (SELECT DISTINCT schedule_id, trip_index FROM stop_time WHERE cell_type <> 'NONE')"""}
@@ -197,7 +207,7 @@ def parsed(spark, sf) -> P.Parsed:
            l.new_index AS trip_index, st.stop_sequence, s.name AS stop_name, st.cell_type, st.dep_min,
            st.note_code, st.raw_value
     FROM stop_time st JOIN live l ON l.schedule_id = st.schedule_id AND l.trip_index = st.trip_index
-    JOIN schedule sc ON sc.id = st.schedule_id JOIN stop s ON s.id = st.stop_id""", _PARSED)
+    JOIN schedule sc ON sc.id = st.schedule_id JOIN stop s ON s.id = st.stop_id""", PARSED)
 def parse_round_trip(spark, sf):
     """Every cell of the network, printed as text and parsed back."""
     return parsed(spark, sf).cells.select(
@@ -214,7 +224,7 @@ def parse_round_trip(spark, sf):
     UNION ALL
     SELECT 'T' || timetable_id || '.pdf', id + 1, id, direction_label, 'SUNDAY', 'SUNDAYS',
            section_timetable_number, CAST(section_effective_date AS VARCHAR), true
-    FROM schedule""", _PARSED)
+    FROM schedule""", PARSED)
 def parsed_schedules(spark, sf):
     return parsed(spark, sf).schedules.select(
         "pdf_filename", "page_number", "direction_index", "direction_label", "day_type", "day_label",
@@ -228,7 +238,7 @@ def parsed_schedules(spark, sf):
            CASE WHEN bool_or(st.note_code IS NOT NULL) THEN 'a' END AS note_codes
     FROM live l JOIN stop_time st ON l.schedule_id = st.schedule_id AND l.trip_index = st.trip_index
     JOIN schedule sc ON sc.id = l.schedule_id
-    GROUP BY sc.timetable_id, sc.id, l.new_index""", _PARSED)
+    GROUP BY sc.timetable_id, sc.id, l.new_index""", PARSED)
 def parsed_trips(spark, sf):
     return parsed(spark, sf).trips.select(
         "pdf_filename", "page_number", "trip_index",
@@ -246,7 +256,12 @@ def parsed_notes(spark, sf):
     SELECT 'T' || timetable_id || '.pdf' AS pdf_filename, 'parsed' AS parse_status,
            CAST(NULL AS VARCHAR) AS parse_error, CAST(count(*) AS INTEGER) AS page_count,
            min(section_timetable_number) AS timetable_number
-    FROM schedule GROUP BY timetable_id""")
+    FROM schedule GROUP BY timetable_id
+    UNION ALL
+    SELECT 'BLANK' || id || '.pdf', 'parsed', NULL, 2, NULL FROM timetable WHERE id % 10 = 3
+    UNION ALL
+    SELECT 'BAD' || id || '.pdf', 'failed', 'impossible effective date: 2026-02-30', 1, '001234'
+    FROM timetable WHERE id % 10 = 7""")
 def parsed_files(spark, sf):
     return parsed(spark, sf).files
 

@@ -11,8 +11,9 @@ from ..operators import itinerary as I
 from ..operators import journeys as J
 from ..operators import merge as G
 from ..sources.network import load, read
+from ..sources.pages import parse
 from . import requests as R
-from .ingest import parsed
+from .ingest import PARSED, parsed
 from .journeys import ASKED_RIDES, EVERY_LEG
 from .registry import query
 
@@ -126,8 +127,65 @@ def reload_counts(spark, sf):
     t, m = load(spark, sf), current_manifest(spark, sf)
     p = parsed(spark, sf)
     out = G.load_batch(t, m, _fetched(m), p, F.lit(AT).cast("timestamp"))
-    return G.table_counts(out, ["route", "stop", "timetable", "timetable_note", "schedule",
-                                "schedule_stop", "trip", "stop_time", "visit"])
+    return G.table_counts(out, _TABLES)
+
+
+_TABLES = ["route", "stop", "timetable", "timetable_note", "schedule", "schedule_stop", "trip",
+           "stop_time", "visit"]
+
+
+@query(f"""
+    SELECT 'route' AS table_name, count(DISTINCT route_id) AS n_rows FROM fresh
+    UNION ALL SELECT 'stop', count(*) FROM stop
+    UNION ALL SELECT 'timetable', count(*) FROM fresh
+    UNION ALL SELECT 'timetable_note', count(DISTINCT timetable_id) FROM again
+    UNION ALL SELECT 'schedule', 2 * count(*) FROM again
+    UNION ALL SELECT 'schedule_stop', count(*) FROM schedule_stop JOIN again ON id = schedule_id
+    UNION ALL SELECT 'trip', count(*) FROM {_LIVE} l JOIN again ON id = l.schedule_id
+    UNION ALL SELECT 'stop_time', count(*) FROM stop_time x JOIN {_LIVE} l ON l.schedule_id = x.schedule_id
+                     AND l.trip_index = x.trip_index JOIN again ON id = x.schedule_id
+    UNION ALL SELECT 'visit', count(*) FROM visit JOIN again ON id = schedule_id""", _RELOADED)
+def ingest_run(spark, sf):
+    """A whole run: the published files are loaded, what they supersede is pruned."""
+    m = current_manifest(spark, sf)
+    return G.table_counts(G.ingest(load(spark, sf), m, _fetched(m), parsed(spark, sf),
+                                   F.lit(AT).cast("timestamp")), _TABLES)
+
+
+_TRIAL = {**_RELOADED, "fresh": """
+    SELECT * FROM timetable WHERE c_acctbal >= 0 ORDER BY pdf_filename LIMIT 25"""}
+
+
+@query("""
+    SELECT t.id, t.pdf_filename, CASE WHEN f.id IS NULL THEN '2026-01-01' ELSE '2026-02-01' END AS scraped_on,
+           coalesce(s.n, 0) AS schedules
+    FROM timetable t LEFT JOIN fresh f ON f.id = t.id
+    LEFT JOIN (SELECT timetable_id, CAST(sum(n) AS BIGINT) AS n FROM (
+                   SELECT timetable_id, 2 AS n FROM again UNION ALL SELECT timetable_id, 1 FROM still)
+               GROUP BY timetable_id) s ON s.timetable_id = t.id""", _TRIAL)
+def ingest_trial(spark, sf):
+    """A trial run over the first 25 files: only those are loaded and nothing is pruned."""
+    m = current_manifest(spark, sf)
+    out = G.ingest(load(spark, sf), m, _fetched(m), parsed(spark, sf), F.lit(AT).cast("timestamp"), limit=25)
+    n = out.schedule.groupBy(F.col("timetable_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return out.timetable.join(n, "id", "left").select(
+        "id", "pdf_filename", F.date_format("scraped_at", "yyyy-MM-dd").alias("scraped_on"),
+        F.coalesce("n", F.lit(0)).alias("schedules"))
+
+
+@query("""
+    SELECT f.pdf_filename, sc.id + 1 AS page_number, l.new_index AS trip_index, st.stop_sequence,
+           s.name AS stop_name, st.cell_type, st.dep_min, st.note_code, st.raw_value
+    FROM stop_time st JOIN live l ON l.schedule_id = st.schedule_id AND l.trip_index = st.trip_index
+    JOIN schedule sc ON sc.id = st.schedule_id JOIN fresh f ON f.id = sc.timetable_id
+    JOIN stop s ON s.id = st.stop_id""", {**_NEW, **PARSED})
+def reparse_stored_text(spark, sf):
+    """The cells of loaded files, parsed again from the text kept in the tables."""
+    m = current_manifest(spark, sf)
+    out = G.load_batch(load(spark, sf), m, _fetched(m), parsed(spark, sf), F.lit(AT).cast("timestamp"))
+    return parse(G.stored_lines(out)).cells.select(
+        "pdf_filename", "page_number", "trip_index", "stop_sequence", "stop_name", "cell_type",
+        "dep_min", "note_code", "raw_value")
 
 
 @query("""
@@ -142,8 +200,7 @@ def reload_counts(spark, sf):
     UNION ALL SELECT 'visit', count(*) FROM visit JOIN again ON id = schedule_id""", _RELOADED)
 def prune_superseded(spark, sf):
     out = G.prune_superseded(load(spark, sf), current_manifest(spark, sf))
-    return G.table_counts(out, ["timetable", "route", "stop", "timetable_note", "schedule",
-                                "schedule_stop", "trip", "stop_time", "visit"])
+    return G.table_counts(out, _TABLES)
 
 
 @query("SELECT id, timetable_number, pdf_filename FROM fresh", _NEW)

@@ -29,7 +29,7 @@ SCHEMAS: dict[str, T.StructType] = {
                          effective_from=_DT, effective_to=_DT, pdf_url=_S, pdf_filename=_S,
                          pdf_sha256=_S, page_count=_N, parse_status=_S, parse_error=_S,
                          scraped_at=_TS, parsed_at=_TS),
-    "timetable_text": _schema(timetable_id=_I, page_number=_I, page_text=_S),
+    "timetable_text": _schema(timetable_id=_I, page_number=_I, line_no=_I, line=_S),
     "timetable_note": _schema(timetable_id=_I, code=_S, description=_S),
     "stop": _schema(id=_I, name=_S, lat=_D, lon=_D, geocoded_at=_TS, geocode_source=_S),
     "schedule": _schema(id=_I, timetable_id=_I, page_number=_I, direction_index=_I,
