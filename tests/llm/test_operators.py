@@ -339,6 +339,22 @@ def test_line_dedup_cases(spark):
     assert none.collect() == [] and none.columns[:4] == df.columns
 
 
+def test_line_dedup_counts_sites_of_copies(spark):
+    """Three texts hold a line; on 4 sites each, 11 or 9 distinct ones altogether."""
+    sites = {"eleven": [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 3]],
+             "nine": [[0, 1, 2, 3], [4, 5, 6, 7], [8, 0, 1, 2]]}
+    data = [(f"{line} words\nonly {t} of {line}", f"s{s}") for line, texts in sites.items()
+            for t, own in enumerate(texts) for s in own]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)],
+                               "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(df).collect()}
+    for i, (text, _) in enumerate(data):
+        # The text of the least id keeps the line in all of its copies.
+        gone = 4 <= i < 12
+        assert got[i]["text"] == (text.split("\n")[1] if gone else text)
+        assert got[i]["n_removed"] == int(gone)
+
+
 def test_pii_base(spark, docs):
     got = queries.op5_pii(spark, SF).collect()
     want = sorted(brute.pii_row(*d) for d in docs)

@@ -5,9 +5,10 @@ sketches that merge by aggregation. A line whose estimate is within ``band`` of
 gets an exact distinct count; the others are decided by their estimates. Most lines have one
 site only; the least and the largest site tell them apart before any sketch is made.
 
-Copies of a whole text would make each of its lines look like boilerplate, so a text counts
-once, at its least site. One occurrence of every line stays in the corpus, in the text whose
-least key is least, so that lines of a large group of near copies are never lost altogether.
+Every site that holds a line counts, also those of copies of a whole text. One occurrence of
+every line stays in the corpus, in the text whose least key is least: a text that alone holds a
+line keeps it in all of its copies, and lines of a large group of near copies are never lost
+altogether.
 
 Null texts stay null and have no lines; lines blank after trimming are kept and not counted; a
 null site is a site of its own. Repeated rows are one text. An empty table gives no rows. All
@@ -31,16 +32,16 @@ def _hashes(value, names):
 
 def occurrences(docs: DataFrame, text: str = "text", site: str = "source",
                 key: str = "doc_id") -> DataFrame:
-    """(h1, h2, t1, t2, pos, site, key): the lines of distinct texts, with the least site
-    and least key of the rows that hold the text; written down."""
+    """(h1, h2, t1, t2, pos, site, key): the lines of distinct texts at each of their sites,
+    with the least key of the rows that hold the text there; written down."""
     line = F.btrim(F.col("line"))
     lines = (docs.select(*_hashes(F.col(text), TEXT),
                          F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")),
                                     F.lit("")).alias("site"), F.col(key).alias("key"),
                          F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
              .filter(line != "").select(*_hashes(line, LINE), *TEXT, "pos", "site", "key"))
-    return stored(lines.groupBy(*LINE, *TEXT, "pos")
-                  .agg(F.min("site").alias("site"), F.min("key").alias("key")), "line-places")
+    return stored(lines.groupBy(*LINE, *TEXT, "pos", "site").agg(F.min("key").alias("key")),
+                  "line-places")
 
 
 def spread_lines(places: DataFrame, min_sites: int, band: float = 0.15,
@@ -64,7 +65,8 @@ def spread_lines(places: DataFrame, min_sites: int, band: float = 0.15,
 def removed_lines(places: DataFrame, lines: DataFrame) -> DataFrame:
     """(t1, t2, gone): of each text, the sorted places of the lines to remove."""
     order = F.struct(F.col("key").isNull().alias("none"), "key", *TEXT, "pos")
-    hit = stored(places.join(lines, LINE, "left_semi").withColumn("at", order), "line-hits")
+    hit = stored(places.join(lines, LINE, "left_semi").groupBy(*LINE, *TEXT, "pos")
+                 .agg(F.min("key").alias("key")).withColumn("at", order), "line-hits")
     first = stored(hit.groupBy(*LINE).agg(F.min("at").alias("first")), "line-firsts")
     return stored(hit.join(first, LINE).filter("at != first").groupBy(*TEXT)
                   .agg(F.sort_array(F.collect_list("pos")).alias("gone")), "line-removals")
