@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Executors cut the documents into shards of a few megabytes and sort the word suffixes of each
-shard (prefix doubling over word hashes). Every suffix of every benchmark item is looked up
-in every shard by binary search: its neighbours give the longest verbatim match, and the range
-of suffixes that share a window gives all its places, whose words are then compared as text,
-not by hash alone. Words are runs of ASCII letters, digits and all non-ASCII characters, A-Z
+shard (prefix doubling over word hashes). ``find``, which the query and the pipeline use, looks
+up the first suffix of each distinct window of the benchmark in every shard by binary search:
+the range of suffixes that share the window gives all its places, whose words are then compared
+as text, not by hash alone. It doesn't look up the other suffixes and gives no longest matches;
+``longest_matches``, which no query uses, looks up every suffix and gives its longest verbatim
+match with one place. Words are runs of ASCII letters, digits and all non-ASCII characters, A-Z
 lower-cased; a window is ``width`` consecutive words of an item, or all of a shorter item.
 
 The benchmark is a query set: it is read in blocks of a bounded size, one pass over the
