@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import (decontaminate, embedding_dedup, language_id, line_dedup, packing, pii,
-               simhash_dedup, token_counts, token_matrix, url_filter)
+from . import (decontaminate, embedding_dedup, hard_negatives, language_id, line_dedup, merkle,
+               packing, pii, sharding, simhash_dedup, token_counts, token_matrix, url_filter)
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
          url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
@@ -81,9 +81,37 @@ def op10_simhash_dedup(spark, sf_dir):
     return simhash_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    """Some rows are looked at with one more in n_chars than the manifest has."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.col("n_chars") + 1 if i == 3 else c for i, c in enumerate(columns)]
+    picked = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 0
+    found = merkle.manifest(docs, F.col("lang"), F.col("doc_id"), merkle.leaf(columns),
+                            {"doc_id": F.col("doc_id"),
+                             "seen": F.when(picked, merkle.leaf(changed))})
+    folded = merkle.fold(F.coalesce("seen", "leaf"), F.col("steps"))
+    return (found.select("doc_id", "leaf", "subroot", "root",
+                         merkle.digest(merkle.proof(F.col("steps"))).alias("proof_sha256"),
+                         folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=40).withColumns(
+        {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_packing, op3_token_counts, op4_language_id, op5_pii, op6_decontaminate,
-    op7_line_dedup, op8_embedding_dedup, op9_token_matrix, op10_simhash_dedup)}
+    op7_line_dedup, op8_embedding_dedup, op9_token_matrix, op10_simhash_dedup,
+    op11_hard_negatives, op12_merkle_manifest, op13_sharding)}
 
 _SUFFIX2 = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
 _STRENGTH = f"""
@@ -98,6 +126,10 @@ _STRENGTH = f"""
               FROM (SELECT count(*) FILTER (n > 0) AS g, sum(n)::DOUBLE AS t, sum(k)::DOUBLE AS b,
                            sum(n::DOUBLE * n) AS sq,
                            sum(k::DOUBLE * k / nullif(n, 0)) AS r FROM LEVEL))) END FROM LEVEL"""
+_FIELDS = ", ".join(
+    f"coalesce(octet_length(encode({v})) || ':' || {v}, '-') AS {n}" for n, v in (
+        ("f_doc", "doc_id::VARCHAR"), ("f_source", "source"), ("f_lang", "lang"),
+        ("f_chars", "n_chars::VARCHAR"), ("f_more", "(n_chars + 1)::VARCHAR"), ("f_text", "text")))
 _RULE = """CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
@@ -168,5 +200,74 @@ c AS (SELECT a, min(b) AS low FROM reach GROUP BY 1)
 SELECT vec_id, coalesce(links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
        vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id AS cand, a.label = c.label AS same,
+             list_inner_product(a.e, c.e)::BIGINT AS score
+      FROM v a JOIN v c ON a.r <> c.r AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT ar, anchor_id, cand AS positive_id, score AS positive_score,
+             row_number() OVER (PARTITION BY ar ORDER BY score DESC, cand, cr) AS slot
+      FROM s WHERE same QUALIFY slot <= 5)
+SELECT p.anchor_id, positive_id, cast(row_number() OVER w AS INTEGER) AS rank,
+       cand AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT same
+     AND 100 * score BETWEEN 80 * positive_score AND 100 * positive_score
+WINDOW w AS (PARTITION BY p.ar, slot ORDER BY score DESC, cand, cr) QUALIFY rank <= 5
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce(
+        list_prepend(i, range(8)), lambda x, y: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384)
+                                                  ELSE x >> 1 END)) AS crc),
+d AS (SELECT *, row_number() OVER () AS r, list_reduce(list_prepend(4294967295,
+             [ascii(x)::BIGINT FOR x IN string_split(coalesce(doc_id::VARCHAR, ''), '')
+              IF x <> '']), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])) AS k
+      FROM documents, c),
+f AS (SELECT r, doc_id, lang, xor(k, 4294967295) % 7 = 0 AS picked, {_FIELDS} FROM d),
+l AS (SELECT r, doc_id, lang, sha256(f_doc || f_source || f_lang || f_chars || f_text) AS leaf,
+             CASE WHEN picked THEN sha256(f_doc || f_source || f_lang || f_more || f_text) END AS seen
+      FROM f),
+g AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+      FROM l WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+t AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM g
+      UNION ALL
+      SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+      FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+s AS (SELECT lang, max(lvl) AS height, arg_max(h, lvl) AS subroot,
+             row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+      FROM t WHERE n = 1 GROUP BY lang),
+u AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM s
+      UNION ALL
+      SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+      FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+nodes AS (SELECT lang, lvl, pos, h, FALSE AS top FROM t WHERE n > 1
+          UNION ALL SELECT NULL, lvl, pos, h, TRUE FROM u WHERE n > 1),
+walk AS (SELECT r, g.lang, 0 AS lvl, g.pos, s.pos AS place, height,
+                coalesce(seen, leaf) AS folded, '' AS proof
+         FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang
+         UNION ALL
+         SELECT r, w.lang, w.lvl + 1, w.pos // 2, place, height,
+                CASE WHEN x.h IS NULL THEN sha256(folded)
+                     WHEN w.pos % 2 = 1 THEN sha256(x.h || folded) ELSE sha256(folded || x.h) END,
+                proof || coalesce(x.h, '')
+         FROM walk w LEFT JOIN nodes x ON NOT x.top AND x.lang IS NOT DISTINCT FROM w.lang
+              AND x.lvl = w.lvl AND x.pos = xor(w.pos, 1)
+         WHERE w.lvl < w.height),
+up AS (SELECT r, 0 AS lvl, place AS pos, folded, proof FROM walk WHERE lvl = height
+       UNION ALL
+       SELECT r, up.lvl + 1, up.pos // 2, CASE WHEN x.h IS NULL THEN sha256(folded)
+                  WHEN up.pos % 2 = 1 THEN sha256(x.h || folded) ELSE sha256(folded || x.h) END,
+              proof || coalesce(x.h, '')
+       FROM up LEFT JOIN nodes x ON x.top AND x.lvl = up.lvl AND x.pos = xor(up.pos, 1)
+       WHERE up.lvl < (SELECT max(lvl) FROM u)),
+e AS (SELECT r, folded AS folded_root, sha256(proof) AS proof_sha256 FROM up
+      WHERE lvl = (SELECT max(lvl) FROM u))
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang JOIN e USING (r),
+     (SELECT h AS root FROM u WHERE n = 1)
 """,
 }

@@ -4,12 +4,13 @@ objects kept per Python worker, and blocks of large buckets."""
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import stored
 
@@ -61,6 +62,28 @@ def number_of_blocks(rows: Column, most: int) -> Column:
     return F.ceil(rows / F.lit(most)).cast("int")
 
 
+def in_order(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with ``pos``, their place from 0 on within ``group`` by ``order``, and the
+    group's ``total``.
+
+    Sorted ranges are written down, each row with its place in the range; only the counts of a
+    group's ranges meet in a window, so a group of any size is numbered by many tasks.
+    """
+    table = stored(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+                   .withColumn("__at", F.monotonically_increasing_id()), name)
+    table = table.withColumn("__range", F.shiftright("__at", 33))
+    ranges = table.groupBy(group, "__range").agg(F.min("__at").alias("first"),
+                                                 F.count(F.lit(1)).alias("n"))
+    each = Window.partitionBy(group)
+    before = each.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(group, "__range", (F.coalesce(F.sum("n").over(before), F.lit(0))
+                                              - F.col("first")).alias("__shift"),
+                           F.sum("n").over(each).alias("total"))
+    return (table.join(ranges, [group, "__range"])
+            .withColumn("pos", F.col("__at") + F.col("__shift"))
+            .drop("__at", "__range", "__shift"))
+
+
 def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns renamed k0, k1, ... and the new name of each: whatever they
     are called, they clash with nothing an operator adds."""
