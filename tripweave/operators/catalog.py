@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import CORE_DAYS, DAY_ORDER, clock, day_rank, iso_date
 from ..sources.tables import Tables
 from .blocks import first_per, top_per
+from .names import NameIndex, index_names
 
 
 def health(t: Tables) -> DataFrame:
@@ -24,23 +25,17 @@ def health(t: Tables) -> DataFrame:
     return out
 
 
-def name_hits(names: DataFrame, name: str, asked: DataFrame) -> DataFrame:
-    """Rows of ``names`` whose ``name`` contains each distinct ``q``, in any case.
+def route_names(t: Tables) -> NameIndex:
+    return t.kept("route names", lambda: index_names(t.route.select("id", "name"), "name"))
+
+
+def stop_names(t: Tables) -> NameIndex:
+    return t.kept("stop names", lambda: index_names(
+        t.stop.select(F.col("id").alias("stop_id"), "name"), "name"))
 
-    Names are listed under their pieces of one to three characters and each text is
-    looked up by its first such piece free of wildcards, so the match is an equality
-    join with the full test after it. An empty text finds every name.
-    """
-    low = F.lower(name)
-    at = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    pieces = F.flatten(F.transform(at, lambda i: F.array(
-        *[low.substr(i, F.lit(k)) for k in (1, 2, 3)])))
-    listed = names.withColumn("_piece", F.explode(
-        F.array_union(pieces, F.array(F.lit("")))))
-    keyed = asked.select("q").distinct().withColumn(
-        "_piece", F.regexp_extract(F.lower("q"), r"[^%_\\]{1,3}", 0))
-    return (keyed.join(listed, "_piece").drop("_piece")
-            .filter(F.ilike(name, F.concat(F.lit("%"), F.col("q"), F.lit("%")))))
+
+def area_names(t: Tables) -> NameIndex:
+    return t.kept("area names", lambda: index_names(areas(t), "area"))
 
 
 def search_routes(t: Tables, requests: DataFrame) -> DataFrame:
@@ -55,7 +50,8 @@ def search_routes(t: Tables, requests: DataFrame) -> DataFrame:
                       F.coalesce("n", F.lit(0)).alias("timetable_count")))
     asked = requests.select("request_id", F.coalesce("q", F.lit("")).alias("q"),
                             F.upper(F.nullif("letter", F.lit(""))).alias("letter"))
-    return (asked.join(name_hits(routes, "name", asked), "q")
+    hits = route_names(t).find(asked).select("q", "id")
+    return (asked.join(hits, "q").join(routes, "id")
             .filter("letter IS NULL OR letter_group = letter")
             .select("request_id", *routes.columns))
 
@@ -141,14 +137,14 @@ def timetable_cells(t: Tables, requests: DataFrame) -> DataFrame:
 def search_stops(t: Tables, requests: DataFrame, limit: int = 20) -> DataFrame:
     """Up to ``limit`` stops per text, names starting with it first; all stops for no text.
 
-    Distinct texts are searched once. The match is on names only, and each partition
-    keeps its own best ``limit`` rows before anything moves.
+    Distinct texts are searched once. The match is on names only, each partition keeps its
+    own best ``limit`` rows before anything moves, and coordinates are read for what is left.
     """
     asked = requests.select(F.coalesce("q", F.lit("")).alias("q")).distinct()
-    st = t.stop.select(F.col("id").alias("stop_id"), "name", "lat", "lon")
-    hits = name_hits(st, "name", asked).withColumn(
+    st = t.stop.select(F.col("id").alias("stop_id"), "lat", "lon")
+    hits = stop_names(t).find(asked).withColumn(
         "is_prefix", F.ilike("name", F.concat(F.col("q"), F.lit("%"))))
-    best = top_per(hits, ["q"], [F.desc("is_prefix"), "name", "stop_id"], limit)
+    best = top_per(hits, ["q"], [F.desc("is_prefix"), "name", "stop_id"], limit).join(st, "stop_id")
     return (requests.select("request_id", F.coalesce("q", F.lit("")).alias("q")).join(best, "q")
             .select("request_id", "q", F.col("_rank").alias("rank"), "stop_id", "name",
                     "lat", "lon"))
@@ -268,7 +264,7 @@ def suggestions(t: Tables, gazetteer: DataFrame, requests: DataFrame, max_areas:
                            text.alias("full_name"))
 
     at = {"lat": F.col("lat"), "lon": F.col("lon")}
-    area = group(top_per(name_hits(areas(t), "area", asked), ["q"], ["area"], max_areas),
+    area = group(top_per(area_names(t).find(asked), ["q"], ["area"], max_areas),
                  1, "area", "_rank", "area")
     stop = group(search_stops(t, once, max_stops).filter("lat IS NOT NULL AND lon IS NOT NULL"),
                  2, "stop", "rank", "name", F.col("stop_id"), **at)

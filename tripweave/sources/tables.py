@@ -89,6 +89,12 @@ class Tables:
                 here.join(after, ["schedule_id", "stop_sequence"]), "next_stop")
         return self._built["next_stop"]
 
+    def kept(self, name: str, make: Callable[[], object]):
+        """Something worked out of these tables, made at its first use."""
+        if name not in self._built:
+            self._built[name] = make()
+        return self._built[name]
+
     def names(self) -> list[str]:
         return list(self._builders)
 
