@@ -111,6 +111,13 @@ def _roots(tiers: list[DataFrame], size: int) -> DataFrame:
     return out
 
 
+def _ways(blocks: DataFrame, arity: int) -> Column:
+    """The nodes of a block, each with its steps to the top of the block."""
+    names = blocks.schema["nodes"].dataType.elementType.names
+    return F.transform("nodes", lambda x: record(
+        **{n: x[n] for n in names}, steps=_steps(F.col("levels"), x["index"], arity)))
+
+
 def _paths(tiers: list[DataFrame], above: DataFrame, size: int, arity: int,
            name: str) -> DataFrame:
     """(grp, index, node, row, steps) of the leaves: steps to the group's node, then ``above``.
@@ -125,12 +132,14 @@ def _paths(tiers: list[DataFrame], above: DataFrame, size: int, arity: int,
                 .join(above, "grp"))
         if below is not None:
             over = over.unionByName(below)
-        each = (blocks.join(over, ["grp", "block"]).withColumn("x", F.explode("nodes"))
-                .withColumn("steps", F.concat(_steps(F.col("levels"), F.col("x.index"), arity),
-                                              F.col("over"))))
+        # Steps are cut out before nodes become rows, so that no row carries the levels.
+        each = (blocks.join(over, ["grp", "block"])
+                .select("grp", "block", "over", F.explode(_ways(blocks, arity)).alias("x"))
+                .select("grp", "block", "x.*", "over")
+                .withColumn("steps", F.concat("steps", "over")))
         if tier == 0:
-            return each.select("grp", "x.*", "steps")
-        below = stored(each.select("grp", (F.col("block") * size + F.col("x.index"))
+            return each.drop("block", "over")
+        below = stored(each.select("grp", (F.col("block") * size + F.col("index"))
                                    .alias("block"), F.col("steps").alias("over")),
                        f"{name}-steps-{tier}")
 
