@@ -9,8 +9,9 @@ from ..functions.scalars import ratio_tenths, ratio_whole
 from ..sources.tables import Tables
 
 
-def event_rows(events: DataFrame) -> DataFrame:
-    """Search events as search rows: a stop id wins over coordinates, as in requests.
+def event_rows(events: DataFrame, *more: str) -> DataFrame:
+    """Search events as search rows, with columns ``more``: a stop id wins over coordinates, as
+    in requests.
 
     Events hold (event_id, endpoint, from_/to_ (stop_id, lat, lon), options, duration_ms,
     searched_at) with ``options`` an array of (timetable_number, route_label, day_type,
@@ -24,7 +25,7 @@ def event_rows(events: DataFrame) -> DataFrame:
                 F.when(pin, lon).alias(f"{s}_lon")]
     return events.select(F.col("event_id").alias("id"), "endpoint", *side("from"), *side("to"),
                          F.coalesce(F.size("options"), F.lit(0)).alias("option_count"),
-                         "duration_ms", "searched_at")
+                         "duration_ms", "searched_at", *more)
 
 
 def option_rows(events: DataFrame) -> DataFrame:
@@ -91,6 +92,10 @@ def unmet_demand(t: Tables, by_pin: bool = False, limit: int | None = 20) -> Dat
 
 
 def searches_per_hour(t: Tables, limit: int | None = 24) -> DataFrame:
+    """Searches by hour, latest first; a feed has them counted already."""
+    if "searches_by_hour" in t.names():
+        ordered = t.searches_by_hour.orderBy(F.desc("hour"))
+        return ordered.limit(limit) if limit else ordered
     out = t.search_analytics.groupBy(F.date_trunc("hour", "searched_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("searches"))
     ordered = out.orderBy(F.desc("hour"))
