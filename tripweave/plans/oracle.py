@@ -12,9 +12,11 @@ TABLES: dict[str, str] = {
     "stop": """
         SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name,
                CASE WHEN p_partkey % 17 <> 0 THEN CAST(-34.10 AS DOUBLE)
-                    + CAST((p_partkey * 7919) % 1000 AS DOUBLE) * CAST(0.0005 AS DOUBLE) END AS lat,
+                    + CAST((p_partkey * 7919) % 1000 AS DOUBLE) * CAST(0.0005 AS DOUBLE)
+                    + CAST((p_partkey // 4000) % 100 AS DOUBLE) * CAST(0.6 AS DOUBLE) END AS lat,
                CASE WHEN p_partkey % 17 <> 0 THEN CAST(18.30 AS DOUBLE)
-                    + CAST((p_partkey * 104729) % 1000 AS DOUBLE) * CAST(0.0007 AS DOUBLE) END AS lon
+                    + CAST((p_partkey * 104729) % 1000 AS DOUBLE) * CAST(0.0007 AS DOUBLE)
+                    + CAST(p_partkey // 4000 // 100 AS DOUBLE) * CAST(0.8 AS DOUBLE) END AS lon
         FROM part""",
     "route": """
         SELECT CAST(n_nationkey AS BIGINT) AS id,
@@ -103,10 +105,18 @@ TABLES: dict[str, str] = {
                             AND b.stop_sequence = a.stop_sequence + 1
         JOIN stop sa ON sa.id = a.stop_id JOIN stop sb ON sb.id = b.stop_id
         WHERE sa.lat IS NOT NULL AND sb.lat IS NOT NULL AND a.stop_id <> b.stop_id""",
+    # Paths stay in the tile of their first stop.
+    "path_end": """
+        SELECT * REPLACE (
+               to_lat - CAST((to_stop_id // 4000) % 100 AS DOUBLE) * CAST(0.6 AS DOUBLE)
+                   + CAST((from_stop_id // 4000) % 100 AS DOUBLE) * CAST(0.6 AS DOUBLE) AS to_lat,
+               to_lon - CAST(to_stop_id // 4000 // 100 AS DOUBLE) * CAST(0.8 AS DOUBLE)
+                   + CAST(from_stop_id // 4000 // 100 AS DOUBLE) * CAST(0.8 AS DOUBLE) AS to_lon)
+        FROM leg""",
     "bent": """
         SELECT *, (from_lat + to_lat) / 2 + CAST(0.002 AS DOUBLE) AS mid_lat,
                (from_lon + to_lon) / 2 - CAST(0.001 AS DOUBLE) AS mid_lon
-        FROM leg WHERE (from_stop_id + to_stop_id) % 4 <> 0""",
+        FROM path_end WHERE (from_stop_id + to_stop_id) % 4 <> 0""",
     "leg_geometry": """
         SELECT *, 12742000.0 * asin(sqrt(pow(sin(radians(mid_lat - from_lat) / 2), 2)
                    + cos(radians(from_lat)) * cos(radians(mid_lat))
@@ -128,10 +138,12 @@ TABLES: dict[str, str] = {
                     THEN (7 * user_id + 1) % (SELECT count(*) FROM part) END AS from_stop_id,
                CASE WHEN event_type IN ('view', 'click', 'purchase') AND user_id % 5 = 0
                     THEN CAST(-34.10 AS DOUBLE)
-                    + CAST((user_id * 3571) % 1000 AS DOUBLE) * CAST(0.0005 AS DOUBLE) END AS from_lat,
+                    + CAST((user_id * 3571) % 1000 AS DOUBLE) * CAST(0.0005 AS DOUBLE)
+                    + CAST((user_id // 200) % 100 AS DOUBLE) * CAST(0.6 AS DOUBLE) END AS from_lat,
                CASE WHEN event_type IN ('view', 'click', 'purchase') AND user_id % 5 = 0
                     THEN CAST(18.30 AS DOUBLE)
-                    + CAST((user_id * 2741) % 1000 AS DOUBLE) * CAST(0.0007 AS DOUBLE) END AS from_lon,
+                    + CAST((user_id * 2741) % 1000 AS DOUBLE) * CAST(0.0007 AS DOUBLE)
+                    + CAST(user_id // 200 // 100 AS DOUBLE) * CAST(0.8 AS DOUBLE) END AS from_lon,
                (3 * event_id + 2) % 50 AS to_stop_id,
                CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 6 AS option_count,
                CAST(floor(value * 10) AS BIGINT) AS duration_ms, ts AS searched_at
@@ -233,9 +245,11 @@ TABLES: dict[str, str] = {
     "pin": """
         SELECT s_suppkey AS request_id,
                CAST(-34.10 AS DOUBLE) + CAST((s_suppkey * 3571) % 1000 AS DOUBLE)
-                   * CAST(0.0005 AS DOUBLE) AS lat,
+                   * CAST(0.0005 AS DOUBLE)
+                   + CAST((s_suppkey // 200) % 100 AS DOUBLE) * CAST(0.6 AS DOUBLE) AS lat,
                CAST(18.30 AS DOUBLE) + CAST((s_suppkey * 2741) % 1000 AS DOUBLE)
-                   * CAST(0.0007 AS DOUBLE) AS lon
+                   * CAST(0.0007 AS DOUBLE)
+                   + CAST(s_suppkey // 200 // 100 AS DOUBLE) * CAST(0.8 AS DOUBLE) AS lon
         FROM supplier""",
     "pin_seg": """
         SELECT p.request_id, g.from_stop_id, g.to_stop_id, g.m1, g.m2,

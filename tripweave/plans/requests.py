@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.network import DAYS, grid_point, read
+from ..sources.network import DAYS, TILE_PINS, grid_point, read
 
 
 def od_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def od_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map pins: one per supplier."""
-    lat, lon = grid_point("s_suppkey", 3571, 2741)
+    lat, lon = grid_point("s_suppkey", 3571, 2741, TILE_PINS)
     return read(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("request_id"), lat.alias("lat"), lon.alias("lon"))
 

@@ -37,11 +37,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def grid_point(key: str, a: int, b: int):
-    """Latitude and longitude spread over the service area by two multipliers."""
+# Stops and pins of a tile of the service area. The area grows by a tile for each of these
+# numbers of ids, so places stay as dense as they are however many there are.
+TILE_STOPS, TILE_PINS = 4000, 200
+TILES_NORTH = 100
+
+
+def tile(key, ids: int):
+    """(degrees north, degrees east) from the first tile to the one of an id."""
+    n = F.floor(key / F.lit(ids))
+    return ((n % TILES_NORTH).cast("double") * F.lit(0.6),
+            F.floor(n / TILES_NORTH).cast("double") * F.lit(0.8))
+
+
+def grid_point(key: str, a: int, b: int, ids: int | None = None):
+    """Latitude and longitude spread over the service area by two multipliers, over tiles of
+    ``ids`` ids if given."""
     k = F.col(key)
-    return (F.lit(-34.10) + ((k * a) % 1000).cast("double") * F.lit(0.0005),
-            F.lit(18.30) + ((k * b) % 1000).cast("double") * F.lit(0.0007))
+    lat, lon = (F.lit(-34.10) + ((k * a) % 1000).cast("double") * F.lit(0.0005),
+                F.lit(18.30) + ((k * b) % 1000).cast("double") * F.lit(0.0007))
+    if ids is None:
+        return lat, lon
+    north, east = tile(k, ids)
+    return lat + north, lon + east
 
 
 def six_digits(c):
@@ -49,7 +67,7 @@ def six_digits(c):
 
 
 def _stop(src):
-    lat, lon = grid_point("p_partkey", 7919, 104729)
+    lat, lon = grid_point("p_partkey", 7919, 104729, TILE_STOPS)
     known = (F.col("p_partkey") % 17) != 0
     return src("part").select(
         F.col("p_partkey").alias("id"),
@@ -175,7 +193,13 @@ def visits(stop_time: DataFrame) -> DataFrame:
 
 
 def _leg_geometry(legs: DataFrame):
-    """A bent path per leg; about a quarter of the legs have none."""
+    """A bent path per leg; about a quarter of the legs have none.
+
+    A path stays in the tile of the stop it starts from: to a stop of another tile it goes to
+    the same place of its own tile, so paths don't get longer as the area grows.
+    """
+    for c, a, b in zip(("lat", "lon"), *(tile(F.col(f"{s}_stop_id"), TILE_STOPS) for s in ("to", "from"))):
+        legs = legs.withColumn(f"to_{c}", F.col(f"to_{c}") - a + b)
     mid = F.struct(((F.col("from_lat") + F.col("to_lat")) / 2 + 0.002).alias("lat"),
                    ((F.col("from_lon") + F.col("to_lon")) / 2 - 0.001).alias("lon"))
     path = F.array(F.struct(F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")), mid,
@@ -195,7 +219,7 @@ def _search_analytics(src):
     n = src("part").agg(F.count(F.lit(1))).scalar()
     plan = F.col("event_type").isin("view", "click", "purchase")
     pin = plan & (u % 5 == 0)
-    lat, lon = grid_point("user_id", 3571, 2741)
+    lat, lon = grid_point("user_id", 3571, 2741, TILE_PINS)
     return src("events").select(
         e.alias("id"),
         F.when(plan, "/api/plan").otherwise("/api/journeys").alias("endpoint"),
