@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..session import shared_folder
+from ..session import run_folder
 from ..sources.network import load
 from ..streaming import searches as S
 from .registry import query
@@ -104,7 +104,7 @@ def endpoint_cost(spark, sf):
 
 def _feed(spark, sf):
     """The searches as a folder of event files, and a fresh folder for stream state."""
-    root = f"{shared_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    root = f"{run_folder(spark)}/feed-{uuid.uuid4().hex}"
     events = _events(load(spark, sf))
     # Out of order, over more files than a batch takes, and a third of it delivered twice.
     again = events.filter("event_id % 3 = 0")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import run_folder
 from ..sources import manifest as M
 from ..sources import pages as P
 from ..sources.network import load, read, six_digits
@@ -42,7 +45,7 @@ def published(spark, sf):
                 F.lit(".pdf")).alias("pdf_path")))
 
 
-@query("""
+_MANIFEST = """
     SELECT replace(n_name, '_', ' ') || '-' || r_name AS route_name,
            replace(n_name, '_', ' ') AS origin, r_name AS destination,
            substr(n_name, 1, 1) AS letter_group,
@@ -50,11 +53,22 @@ def published(spark, sf):
            seg = 'HOUSEHOLD' AS is_public_holiday, '2026-06-22' AS effective_from,
            CASE WHEN seg <> 'HOUSEHOLD' AND k % 3 <> 0 THEN '2026-12-31' END AS effective_to,
            pdf_path, 'https://timetables.example/' || pdf_path AS pdf_url, pdf_filename
-    FROM listed WHERE seg <> 'MACHINERY'""", _PATHS)
+    FROM listed WHERE seg <> 'MACHINERY'"""
+
+
+@query(_MANIFEST, _PATHS)
 def manifest_rows(spark, sf):
     return M.manifest_rows(published(spark, sf), BASE)
 
 
+@query(_MANIFEST, _PATHS)
+def manifest_round_trip(spark, sf):
+    """The manifest written as JSON in order of its files, and read back."""
+    path = f"{run_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    M.write_manifest(M.manifest_rows(published(spark, sf), BASE), path)
+    return M.read_manifest(spark, path)
+
+
 @query("""
     SELECT pdf_path, 'Unrecognized PDF filename: ' || pdf_filename AS reason
     FROM listed WHERE seg = 'MACHINERY'""", _PATHS)

@@ -289,6 +289,18 @@ def itinerary_conflicts(spark, sf):
     return I.conflicts(_itineraries(spark, sf))
 
 
+@query("""
+    SELECT schedule_id, trip_index, b AS board_minutes, a AS arrive_minutes,
+           (a - b + 1440) % 1440 AS ride_minutes
+    FROM (SELECT schedule_id, trip_index, arg_min(m, stop_sequence) AS b, arg_max(m, stop_sequence) AS a
+          FROM (SELECT *, CAST(substr(raw_value, 1, 2) AS INTEGER) * 60
+                          + CAST(substr(raw_value, 4, 2) AS INTEGER) AS m
+                FROM stop_time WHERE cell_type = 'TIME') GROUP BY 1, 2)""")
+def ride_durations(spark, sf):
+    """Every trip, by its printed times."""
+    return I.ride_durations(load(spark, sf).stop_time, ["schedule_id", "trip_index"])
+
+
 @query("""
     SELECT itinerary_id, position, ride_key FROM (
         SELECT l_suppkey AS itinerary_id, l_orderkey * 10 + l_linenumber AS position,
