@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,46 @@ def test_trimmed_connections_are_exact(spark, search):
     assert sum(r[at] > 2 for r in every) > 0
     got = [tuple(r) for r in run(t, pairs, 10, 2).collect()]
     assert sorted(map(str, got)) == sorted(str(r) for r in every if r[at] <= 2)
+
+
+def _moved(plan, table):
+    """Whether a scan of ``table`` has an exchange between it and the join above it."""
+    lines = [(len(re.match(r"[\s:+\-|*()\d]*", x)[0]), x) for x in plan.split("\n")]
+    out = []
+    for i, (depth, line) in enumerate(lines):
+        if "Scan parquet" in line and table in line:
+            for up, above in reversed(lines[:i]):
+                if up < depth:
+                    depth = up
+                    if "Exchange" in above or "Join" in above:
+                        out.append("Exchange" in above)
+                        break
+    return out
+
+
+def test_rides_of_pairs_do_not_move_the_visits(spark):
+    """Visits lie in buckets of their schedule; what is looked up goes to them."""
+    from tripweave.operators.journeys import pair_rides
+    t = load(spark, SF)
+    pairs = R.od_requests(spark, SF).select("from_id", "to_id").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rides = pair_rides(t, pairs)
+        plan = rides._jdf.queryExecution().executedPlan().toString()
+        assert _moved(plan, "tripweave_visit") == [False, False]
+        few = rides.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert pair_rides(t, pairs).count() == few > 0
+
+
+def test_buckets_of_a_table(spark):
+    from tripweave.session import BUCKET_ROWS, TABLE, stored_in_buckets
+    rows = spark.range(100).withColumn("x", F.col("id") % 7)
+    df = stored_in_buckets(rows, "removable", 10 * BUCKET_ROWS, "x", "id")
+    assert sorted(map(tuple, df.collect())) == [(i, i % 7) for i in range(100)]
+    name = next(x.name for x in spark.catalog.listTables() if x.name.startswith(f"{TABLE}removable"))
+    about = {r[0]: r[1] for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect()}
+    assert about["Num Buckets"] == "10" and about["Bucket Columns"] == "[`x`]"
+    spark.sql(f"DROP TABLE {name}")

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLE = "tripweave_"
+BUCKET_ROWS = 4 << 20
+
 
 def build_session(app: str = "tripweave", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
@@ -20,6 +23,8 @@ def build_session(app: str = "tripweave", master: str | None = None,
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         # Tables in buckets of one column also serve joins on that column and others.
+         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master)
@@ -60,6 +65,9 @@ def remove_written(spark: SparkSession) -> None:
 
     Frames made before can't be read afterwards. Folders of other applications stay.
     """
+    for table in spark.catalog.listTables():
+        if table.name.startswith(TABLE):
+            spark.sql(f"DROP TABLE {table.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -77,3 +85,18 @@ def stored(df: DataFrame, name: str, *sort: str) -> DataFrame:
         df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_in_buckets(df: DataFrame, name: str, about: int, by: str, *sort: str) -> DataFrame:
+    """As ``stored``, in buckets of ``by``: joins and aggregations on it find equal values in
+    one bucket and don't move the table.
+
+    ``about`` is a rough number of rows: buckets hold ``BUCKET_ROWS`` of them and are as many as
+    there are shuffle partitions at least. Each is one file, sorted by ``by`` and ``sort``.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about // BUCKET_ROWS))
+    key = uuid.uuid4().hex
+    (df.repartition(n, by).write.bucketBy(n, by).sortBy(by, *sort)
+     .option("path", f"{run_folder(spark)}/{name}-{key}").saveAsTable(f"{TABLE}{name}_{key}"))
+    return spark.table(f"{TABLE}{name}_{key}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.scalars import clock
 from ..operators.blocks import BLOCK, numbered, running
-from ..session import stored
+from ..session import stored, stored_in_buckets
 from .tables import Tables
 
 # Order priority digit to day type and printed day label.
@@ -261,8 +261,11 @@ def derive(spark: SparkSession, sf_dir: str) -> Tables:
                                         "schedule_id", "stop_sequence"),
         "schedule": lambda: stored(_schedule(src, t.schedule_stop), "schedule"),
         "trip": lambda: _trip(src),
-        "stop_time": lambda: stored(_stop_time(t.schedule_stop), "stop_time"),
-        "visit": lambda: stored(visits(t.stop_time), "visit"),
+        # Two or three trips a schedule.
+        "stop_time": lambda: stored_in_buckets(_stop_time(t.schedule_stop), "stop_time",
+                                               3 * t.schedule_stop.count(), "schedule_id", "stop_sequence"),
+        "visit": lambda: stored_in_buckets(visits(t.stop_time), "visit", t.stop_time.count(),
+                                           "schedule_id", "stop_sequence"),
         "leg_geometry": lambda: stored(_leg_geometry(distinct_legs(t)), "leg_geometry"),
         "search_analytics": lambda: _search_analytics(src),
         "search_analytics_option": lambda: search_options(t.search_analytics),
