@@ -219,6 +219,21 @@ def test_result_diff(spark):
     assert diff.result_diff(a, a, ["k"]).count() == 0
 
 
+def test_only_buckets_that_differ_are_compared(spark):
+    """Planted: a changed value, a null that moves to the next column, a row too many, a row twice."""
+    rows = [(i, i * 0.5, f"s{i % 5}", None) for i in range(5000)]
+    a = spark.createDataFrame(rows, "k long, v double, s string, u string")
+    changed = [r for r in rows]
+    changed[10], changed[20] = (10, 5.5, "s0", None), (20, 10.0, None, "s0")
+    changed += [(9000, 1.0, "s1", None), rows[30]]
+    b = spark.createDataFrame(changed, "k long, v double, s string, u string")
+    assert diff.differing_buckets(a, a.orderBy(F.desc("k")), ["k"]).isEmpty()
+    assert 1 <= diff.differing_buckets(a, b, ["k"]).count() <= 4
+    want = {(10, "v"), (20, "s"), (20, "u"), (9000, "*"), (30, "#")}
+    for buckets in (1, 7, 1 << 16):
+        assert {(r["k"], r["column_name"]) for r in diff.result_diff(a, b, ["k"], buckets).collect()} == want
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     t = load(spark, SF)
     to_parquet(t, str(tmp_path / "snap"), ["stop", "schedule"])

@@ -10,6 +10,7 @@ from ..operators import diff as D
 from ..operators import itinerary as I
 from ..operators import journeys as J
 from ..operators import merge as G
+from ..session import stored
 from ..sources.network import load, read
 from ..sources.pages import parse
 from . import requests as R
@@ -410,8 +411,8 @@ def result_diff(spark, sf):
     """What the time check changes in the number of trips between stops."""
     t, req = load(spark, sf), R.stop_requests(spark, sf)
     cols = ["request_id", "stop_id", "trip_count"]
-    return D.result_diff(J.reachable(t, req).select(*cols), J.reachable_untimed(t, req).select(*cols),
-                         ["request_id", "stop_id"])
+    a, b = (stored(df.select(*cols), "compared") for df in (J.reachable(t, req), J.reachable_untimed(t, req)))
+    return D.result_diff(a, b, ["request_id", "stop_id"])
 
 
 @query("""
