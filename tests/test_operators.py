@@ -134,6 +134,31 @@ def test_locate_matches_brute_force(spark):
         assert abs(r["distance_m"] - d) <= 0.0501 and abs(r["fraction"] - f) <= 0.0000501
 
 
+@pytest.mark.parametrize("block, short", [(4096, 64), (5, 0), (7, 3)])
+def test_locate_on_long_paths_and_among_crowded_pins(spark, monkeypatch, block, short):
+    """A winding path of many points and short ones; most pins stand in one street, one far off."""
+    monkeypatch.setattr(locate, "BLOCK", block)
+    monkeypatch.setattr(locate, "SHORT", short)
+    rnd = random.Random(3)
+
+    def leg(i, points):
+        lats, lons = zip(*points)
+        return (i, i + 1, points, None, min(lats), min(lons), max(lats), max(lons), "x", None)
+    wind = [(-34.0 + k * 0.0004, 18.5 + 0.02 * math.sin(k / 9)) for k in range(600)]
+    legs = [leg(1, wind), leg(3, [(-34.0, 18.4), (-33.7, 18.9)]), leg(5, [(-33.99, 18.5), (-33.99, 18.5)])]
+    legs += [leg(10 + i, [(-34 + rnd.random() * 0.4, 18.3 + rnd.random() * 0.6) for _ in range(rnd.choice([2, 3, 9]))])
+             for i in range(30)]
+    t = Tables(spark, {"leg_geometry": lambda: spark.createDataFrame(legs, SCHEMAS["leg_geometry"])})
+    pins = [(i, -33.99 + rnd.random() * 0.004, 18.5 + rnd.random() * 0.004) for i in range(150)]
+    pins += [(200 + i, -34 + rnd.random() * 0.4, 18.3 + rnd.random() * 0.6) for i in range(30)] + [(999, 10.0, 10.0)]
+    got = locate.locate(t, spark.createDataFrame(pins, "request_id long, lat double, lon double")).collect()
+    want = _pin_brute(t, pins)
+    assert {(r["request_id"], r["from_stop_id"], r["to_stop_id"]) for r in got} == set(want) and len(want) > 200
+    for r in got:
+        d, f = want[r["request_id"], r["from_stop_id"], r["to_stop_id"]]
+        assert abs(r["distance_m"] - d) <= 0.0501 and abs(r["fraction"] - f) <= 0.0000501
+
+
 def test_road_path_is_trimmed_and_joined(spark):
     t = network(spark, {1: ("A", "WEEKDAY", [1, 2, 3], [[600, 610, 620]])})
     leg = spark.createDataFrame([(1, 2, [(-33.999, 18.5), (-33.9985, 18.51), (-33.998, 18.5)], None, -33.999,
