@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from tripweave.operators.analytics import searches_per_hour
+from tripweave.operators.analytics import popular_pairs, route_demand, searches_per_hour, unmet_demand
+from tripweave.sources.tables import SCHEMAS, Tables
 from tripweave.streaming import searches as S
 
 T0 = dt.datetime(2026, 1, 1, 10, 0)
@@ -36,6 +37,12 @@ def test_hours_are_exact_for_any_files(spark, tmp_path, files):
     got = {r["hour"]: r["searches"] for r in searches_per_hour(t, limit=None).collect()}
     assert got == Counter(e[-1].replace(minute=0) for e in events)
     assert t.search_analytics_option.count() == sum(len(e[8]) for e in events)
+    # Reports over the counts of all runs equal those over the rows.
+    stops = Tables(spark, {"stop": lambda: spark.createDataFrame([], SCHEMAS["stop"])})
+    rows = stops.replacing(search_analytics=t.search_analytics, search_analytics_option=t.search_analytics_option)
+    counts = rows.replacing(**{c: getattr(t, c) for c in S.COUNTS})
+    for report in (route_demand, popular_pairs, unmet_demand, searches_per_hour):
+        assert report(counts, limit=None).collect() == report(rows, limit=None).collect() != []
 
 
 def _run(spark, src, out, ck, **more):

@@ -34,18 +34,41 @@ def option_rows(events: DataFrame) -> DataFrame:
         "search_id", "o.*")
 
 
-def route_demand(t: Tables, limit: int | None = 20) -> DataFrame:
-    """Routes by number of searches that returned them.
+ROUTE_KEY = ["route_label", "timetable_number", "day_type"]
+
+
+def route_counts(options: DataFrame) -> DataFrame:
+    """Searches that returned each route, and the departures offered.
 
     Options of one search are merged first, so the distinct count is a plain count of
     the merged rows and a popular route is pre-summed on every task.
     """
-    key = ["route_label", "timetable_number", "day_type"]
-    per_search = t.search_analytics_option.groupBy(*key, "search_id").agg(
-        F.sum("departure_count").alias("d"))
-    out = per_search.groupBy(*key).agg(F.count(F.lit(1)).alias("searches"),
-                                       F.sum("d").alias("departures_offered"))
-    return _top(out, "searches", key, limit)
+    per_search = options.groupBy(*ROUTE_KEY, "search_id").agg(F.sum("departure_count").alias("d"))
+    return per_search.groupBy(*ROUTE_KEY).agg(F.count(F.lit(1)).alias("searches"),
+                                              F.sum("d").alias("departures_offered"))
+
+
+def pair_counts(searches: DataFrame) -> DataFrame:
+    """Searches between two stops (null: a pin), the options found and searches without any."""
+    return searches.groupBy("from_stop_id", "to_stop_id").agg(
+        F.count(F.lit(1)).alias("searches"), F.sum("option_count").cast("bigint").alias("options"),
+        F.count("option_count").alias("answered"), F.count_if(F.col("option_count") == 0).alias("failed_searches"))
+
+
+def hour_counts(searches: DataFrame) -> DataFrame:
+    return searches.groupBy(F.date_trunc("hour", "searched_at").alias("hour")).agg(
+        F.count(F.lit(1)).alias("searches"))
+
+
+def _counts(t: Tables, name: str, made) -> DataFrame:
+    """Counts as a feed keeps them, or made of the rows."""
+    return getattr(t, name) if name in t.names() else made()
+
+
+def route_demand(t: Tables, limit: int | None = 20) -> DataFrame:
+    """Routes by number of searches that returned them."""
+    out = _counts(t, "route_counts", lambda: route_counts(t.search_analytics_option))
+    return _top(out, "searches", ROUTE_KEY, limit)
 
 
 def _top(df, by, ties, limit):
@@ -53,52 +76,49 @@ def _top(df, by, ties, limit):
     return ordered.limit(limit) if limit else ordered
 
 
-def _pair_counts(t: Tables, searches: DataFrame, *aggs, by_pin: bool) -> DataFrame:
-    """Counts per (origin, destination) text, summed on ids before names are joined."""
-    keys = ["from_stop_id", "to_stop_id"]
-    if by_pin:
-        for s in ("from", "to"):
-            label = F.concat(F.lit("pin "), *[x for c in ("lat", "lon") for x in (
-                F.format_string("%.3f", F.round(f"{s}_{c}", 3)),
-                F.lit("," if c == "lat" else ""))])
-            searches = searches.withColumn(f"{s}_pin", F.when(F.col(f"{s}_stop_id").isNull(), label))
-        keys += ["from_pin", "to_pin"]
-    sums = searches.groupBy(*keys).agg(*aggs)
+def _named(t: Tables, counts: DataFrame, pin) -> DataFrame:
+    """Counts by pair of stops with the names of both ends; ``pin`` names what is no stop."""
     a = t.stop.select(F.col("id").alias("from_stop_id"), F.col("name").alias("from_name"))
     b = t.stop.select(F.col("id").alias("to_stop_id"), F.col("name").alias("to_name"))
-    pin = (lambda s: F.col(f"{s}_pin")) if by_pin else (lambda s: F.lit("dropped pin"))
-    return (sums.join(a, "from_stop_id", "left").join(b, "to_stop_id", "left")
+    return (counts.join(a, "from_stop_id", "left").join(b, "to_stop_id", "left")
             .withColumn("origin", F.coalesce("from_name", pin("from")))
             .withColumn("destination", F.coalesce("to_name", pin("to"))))
 
 
+def _by_stops(t: Tables) -> DataFrame:
+    """Counts per (origin, destination) text, summed on ids before names are joined."""
+    counts = _counts(t, "pair_counts", lambda: pair_counts(t.search_analytics))
+    return _named(t, counts, lambda s: F.lit("dropped pin")).groupBy("origin", "destination").agg(
+        *(F.sum(c).alias(c) for c in ("searches", "options", "answered", "failed_searches")))
+
+
 def popular_pairs(t: Tables, limit: int | None = 20) -> DataFrame:
     """Most searched origin-destination pairs with their average number of results."""
-    sums = _pair_counts(t, t.search_analytics, F.count(F.lit(1)).alias("n"),
-                        F.sum("option_count").alias("s"), F.count("option_count").alias("c"),
-                        by_pin=False)
-    out = sums.groupBy("origin", "destination").agg(
-        F.sum("n").alias("searches"), F.sum("s").alias("s"), F.sum("c").alias("c")).select(
-        "origin", "destination", "searches", ratio_tenths("s", "c").alias("avg_results"))
+    out = _by_stops(t).select("origin", "destination", "searches",
+                              ratio_tenths("options", "answered").alias("avg_results"))
     return _top(out, "searches", ["origin", "destination"], limit)
 
 
 def unmet_demand(t: Tables, by_pin: bool = False, limit: int | None = 20) -> DataFrame:
     """Searches that found nothing; ``by_pin`` names pins by their rounded position."""
-    sums = _pair_counts(t, t.search_analytics.filter("option_count = 0"),
-                        F.count(F.lit(1)).alias("n"), by_pin=by_pin)
-    out = sums.groupBy("origin", "destination").agg(F.sum("n").alias("failed_searches"))
+    if by_pin:
+        failed = t.search_analytics.filter("option_count = 0")
+        for s in ("from", "to"):
+            at = [F.format_string("%.3f", F.round(f"{s}_{c}", 3)) for c in ("lat", "lon")]
+            label = F.concat(F.lit("pin "), at[0], F.lit(","), at[1])
+            failed = failed.withColumn(f"{s}_pin", F.when(F.col(f"{s}_stop_id").isNull(), label))
+        sums = failed.groupBy("from_stop_id", "to_stop_id", "from_pin", "to_pin").agg(
+            F.count(F.lit(1)).alias("failed_searches"))
+        out = _named(t, sums, lambda s: F.col(f"{s}_pin")).groupBy("origin", "destination").agg(
+            F.sum("failed_searches").alias("failed_searches"))
+    else:
+        out = _by_stops(t).filter("failed_searches > 0").select("origin", "destination", "failed_searches")
     return _top(out, "failed_searches", ["origin", "destination"], limit)
 
 
 def searches_per_hour(t: Tables, limit: int | None = 24) -> DataFrame:
-    """Searches by hour, latest first; a feed has them counted already."""
-    if "searches_by_hour" in t.names():
-        ordered = t.searches_by_hour.orderBy(F.desc("hour"))
-        return ordered.limit(limit) if limit else ordered
-    out = t.search_analytics.groupBy(F.date_trunc("hour", "searched_at").alias("hour")).agg(
-        F.count(F.lit(1)).alias("searches"))
-    ordered = out.orderBy(F.desc("hour"))
+    """Searches by hour, latest first."""
+    ordered = _counts(t, "searches_by_hour", lambda: hour_counts(t.search_analytics)).orderBy(F.desc("hour"))
     return ordered.limit(limit) if limit else ordered
 
 

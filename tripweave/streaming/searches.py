@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.analytics import event_rows, option_rows
+from ..operators.analytics import (ROUTE_KEY, event_rows, hour_counts, option_rows, pair_counts,
+                                   route_counts)
 from ..sources.tables import SCHEMAS, Tables
 
 OPTION = T.StructType([
@@ -37,7 +38,24 @@ EVENT = T.StructType([
 SEARCH = T.StructType(SCHEMAS["search_analytics"].fields + [
     T.StructField("arrived", T.TimestampType()), T.StructField("run", T.StringType()),
     T.StructField("day", T.DateType())])
-HOURS = T.StructType([T.StructField("hour", T.TimestampType()), T.StructField("searches", T.LongType())])
+_LONG = T.LongType()
+#: Counts kept by run: the columns they are of, and the counts, which add up.
+COUNTS = {
+    "searches_by_hour": ({"hour": T.TimestampType()}, ["searches"]),
+    "route_counts": ({c: T.StringType() for c in ROUTE_KEY}, ["searches", "departures_offered"]),
+    "pair_counts": ({"from_stop_id": _LONG, "to_stop_id": _LONG},
+                    ["searches", "options", "answered", "failed_searches"])}
+TABLES = ["search_analytics", "search_analytics_option", *COUNTS]
+
+
+def _counts_schema(table: str) -> T.StructType:
+    keys, sums = COUNTS[table]
+    return T.StructType([T.StructField(n, k) for n, k in (keys | dict.fromkeys(sums, _LONG)).items()])
+
+
+def _added_up(rows: DataFrame, table: str) -> DataFrame:
+    keys, sums = COUNTS[table]
+    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
 #: State is dropped with the next batch that has events, not by a batch of its own.
 SETTINGS = {
@@ -87,7 +105,7 @@ class Log:
          .write.mode("overwrite").text(f"{self.root}/log/batch={n}"))
 
     def remove(self, runs: list[dict]) -> None:
-        for table in ("search_analytics", "search_analytics_option", "searches_by_hour"):
+        for table in TABLES:
             for run in runs:
                 path, fs = _path(self.spark, f"{self.root}/{table}/run={run['name']}")
                 fs.delete(path, True)
@@ -147,17 +165,21 @@ def record_searches(events: DataFrame, root: str, checkpoint: str, enabled: bool
             rows = rows.select(*names)
             if joined:
                 rows = log.read(table, schema, joined).select(*names).unionByName(rows)
-            if by and joined:
-                rows = rows.repartitionByRange(*by, *names[:1])
+                if table in COUNTS:
+                    rows = _added_up(rows, table)
+                elif by:
+                    rows = rows.repartitionByRange(*by, names[0])
             out = rows.write.mode("overwrite")
             (out.partitionBy(*by) if by else out).parquet(f"{root}/{table}/run={run['name']}")
 
         rows = event_rows(good, "arrived").withColumn("day", F.to_date("searched_at"))
-        put("search_analytics_option", SCHEMAS["search_analytics_option"], option_rows(good))
+        options = option_rows(good)
+        counted = {"searches_by_hour": hour_counts(rows), "route_counts": route_counts(options),
+                   "pair_counts": pair_counts(rows)}
+        put("search_analytics_option", SCHEMAS["search_analytics_option"], options)
         put("search_analytics", SEARCH, rows, "day")
-        hours = rows.groupBy(F.date_trunc("hour", "searched_at").alias("hour")).agg(
-            F.count(F.lit(1)).alias("searches"))
-        put("searches_by_hour", HOURS, hours)
+        for table, counts in counted.items():
+            put(table, _counts_schema(table), counts)
         batch.filter("odd IS NOT NULL").drop("odd", "arrived").write.mode("overwrite").parquet(
             f"{root}/search_quarantine/batch={n}")
         log.write(n, {"runs": [r for r in now["runs"] if r["first"] < first] + [run],
@@ -187,5 +209,4 @@ def recorded(spark: SparkSession, root: str) -> Tables:
             "arrived", "run", "day"),
         "search_analytics_option": lambda: log.read("search_analytics_option", options, runs).select(
             *options.names),
-        "searches_by_hour": lambda: log.read("searches_by_hour", HOURS, runs).groupBy("hour").agg(
-            F.sum("searches").alias("searches"))})
+    } | {c: lambda c=c: _added_up(log.read(c, _counts_schema(c), runs), c) for c in COUNTS})
