@@ -32,27 +32,28 @@ def cut_documents(docs: DataFrame, path: str, length: int, end_id: int | None,
                   slice_bytes: int = 4 << 20, narrow: bool = False) -> DataFrame:
     """Pieces of documents: (key, start, length, ids_crc32, doc_tokens[, ids]).
 
-    ``ids`` are packed little-endian unsigned 32-bit, 16-bit if ``narrow``. With no ``end_id`` an empty document
+    ``ids`` are packed little-endian unsigned 32-bit, 16-bit if ``narrow``; ``ids_crc32`` is
+    null then. With no ``end_id`` an empty document
     has no ids and gives no piece.
     """
     kind = docs.schema[key].dataType.simpleString()
     asked = docs.select(F.col(key).alias("key"), whole(F.col(text)).alias("text"))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    width = 2 if narrow else 4
+    end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
     names = ["key", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def cut(batches):
-        encoder = pieces(path)
+        encoder = pieces(path, narrow=narrow)
         for b in by_bytes(batches, "text", slice_bytes):
             rows, cols = [], [[] for _ in names[1:]]
             for i, ids in enumerate(encoder.encode(b.column("text").to_pylist())):
                 ids += end
-                for at in range(0, len(ids), 4 * length):
-                    piece = ids[at:at + 4 * length]
+                for at in range(0, len(ids), width * length):
+                    piece = ids[at:at + width * length]
                     rows.append(i)
-                    held = np.frombuffer(piece, "<u4").astype("<u2").tobytes() if (
-                        keep_ids and narrow) else piece
-                    for c, v in zip(cols, (at // 4, len(piece) // 4, zlib.crc32(piece),
-                                           len(ids) // 4, held)):
+                    for c, v in zip(cols, (at // width, len(piece) // width,
+                                           None if narrow else zlib.crc32(piece),
+                                           len(ids) // width, piece)):
                         c.append(v)
             kinds = [pa.int64()] * 4 + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays(

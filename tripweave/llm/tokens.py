@@ -3,9 +3,11 @@
 Both vocabularies split a text before they merge. For the one that drops white space any
 space is such a place. For the byte-level one it is a space that follows a character other
 than white space: a token may begin with white space but never holds any after something
-else. Pieces repeat, so a worker keeps what the tokenizer gave for them; a worker's store is
-emptied when it is full, which changes time only. Texts of a tokenizer of another build are
-encoded whole.
+else. Marks after a word and single line ends inside a piece are split off too, so that what is
+left is mostly words. Pieces repeat, so a worker keeps what the tokenizer gave for them in a
+store of two generations, each bounded in bytes: what is asked for again moves from the old one
+to the young one, the rest goes when the young one is full. Long pieces are not kept. The store
+changes time only. Texts of a tokenizer of another build are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,13 +17,18 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 from .shared import per_worker
 
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 _LATIN_END = "ɐ"
+ASCII_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 CHUNK = 1 << 20
-STORE = 500_000
+STORE_BYTES = 64 << 20
+#: What an entry takes beside the letters of its piece and its ids.
+ENTRY_BYTES = 200
+KEPT_PIECE = 256
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,21 +42,49 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class Store(dict):
+    """Values by piece, worked out by ``make`` where missing, in two generations."""
+
+    def __init__(self, make: Callable, sized: int):
+        super().__init__()
+        self.make, self.old, self.held = make, {}, 0
+        self.entry = ENTRY_BYTES + KEPT_PIECE // 16 * sized
+
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        # White space at the end of a piece has to be noticed each time it comes.
+        if len(piece) <= KEPT_PIECE and not piece[-1:].isspace():
+            self[piece] = value
+            self.held += self.entry + len(piece)
+            if self.held > STORE_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+        return value
+
+    def kept(self, piece: str, make: Callable):
+        if piece not in self:
+            self[piece] = make()
+        return self[piece]
+
+
 class Pieces:
-    """Ids (packed little-endian unsigned 32-bit) or counts of ids of texts.
+    """Ids (packed little-endian unsigned, 16-bit if ``narrow``, else 32-bit) or counts of ids
+    of texts.
 
     ``direct`` hands pieces of plain Latin letters straight to the tokenizer's own merge
     model, for which normalising and splitting change nothing; all other pieces, and all
     pieces without ``direct``, go through batch encoding.
     """
 
-    def __init__(self, path: str, counts: bool, direct: bool):
+    def __init__(self, path: str, counts: bool, direct: bool, narrow: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._model = self._tok.model
-        self._counts, self._direct = counts, direct
+        self._counts, self._direct, self._unit = counts, direct, "H" if narrow else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
@@ -67,58 +102,75 @@ class Pieces:
             self._kind = "spaces dropped"
         else:
             self._kind = "whole"
-        self._store: dict = {}   # piece after a space
-        self._begin: dict = {}   # piece at the start of a text, or cut otherwise
-        self._open: set = {""}   # pieces after which a space is no safe place
+        keeps = self._kind == "spaces kept"
+        self._marks = "".join(c for c in ASCII_MARKS if not any(
+            c in a["content"] for a in spec["added_tokens"]))
+        self._after = self._store(" " if keeps else "")
+        self._begin = self._store("") if keeps else self._after
+        self._open: set = {""}   # pieces of a slice after which a space is no safe place
         self.nothing = 0 if counts else b""
 
+    def _store(self, lead: str) -> "Store":
+        """A store of pieces that come after ``lead``."""
+        lower, direct, counts = self._kind == "spaces dropped", self._direct, self._counts
+        marks, unit = self._marks, self._unit
+        tokenize, mark = self._model.tokenize, lead and _LETTERS[ord(lead)]
+
+        def make(piece: str):
+            # What is new is mostly words, or words with marks after them: few calls on their way.
+            if piece.isalpha():
+                if direct and piece.isascii():
+                    tokens = tokenize(piece.lower() if lower else mark + piece)
+                    return len(tokens) if counts else array(unit, [t.id for t in tokens]).tobytes()
+                return self._word(piece, lead)
+            word = piece.rstrip(marks)
+            # A mark after a Latin letter is always split off, so the two add up.
+            if word != piece and word.isalpha() and word[-1] < _LATIN_END:
+                return store[word] + self._begin[piece[len(word):]]
+            return self._piece(piece, lead, store)
+
+        store = Store(make, 0 if counts else 1)
+        return store
+
     def _value(self, ids):
-        return len(ids) if self._counts else array("I", ids).tobytes()
+        return len(ids) if self._counts else array(self._unit, ids).tobytes()
 
     def _encode(self, texts: list[str]):
         for i in range(0, len(texts), 2000):
             for e in self._tok.encode_batch_fast(texts[i:i + 2000], add_special_tokens=False):
                 yield self._value(e.ids)
 
-    def _learn(self, pieces: set[str], store: dict, lead: str) -> None:
-        """Fills ``store`` for pieces; ``lead`` is the space before them that counts."""
-        new = pieces - store.keys()
-        if not new:
-            return
-        keeps = self._kind == "spaces kept"
-        stems: dict[str, tuple[str, str]] = {}
-        for p in new:
-            stem = p.rstrip(".,")
-            # A mark after a Latin letter is always split off, so the two add up.
-            if not stem or not ("A" <= stem[-1] < _LATIN_END and stem[-1].isalpha()):
-                stem = p
-            tail = p[len(stem):]
-            if not keeps and stem.isascii():
-                stem = stem.lower()
-            stems[p] = (stem, tail)
-        plain, odd, tails = {}, [], {t for _, t in stems.values() if t}
-        for stem in {s for s, _ in stems.values()} - store.keys():
-            if self._direct and stem.isalpha() and max(stem) < _LATIN_END and (
-                    keeps or (stem == stem.lower() and unicodedata.is_normalized("NFC", stem))):
-                word = lead + stem
-                if not word.isascii() or lead:
-                    word = word.encode().decode("latin-1").translate(_LETTERS)
-                plain[stem] = word
-            else:
-                odd.append(stem)
-        for stem, word in plain.items():
-            store[stem] = self._value([t.id for t in self._model.tokenize(word)])
-        store.update(zip(odd, self._encode([lead + s for s in odd])))
-        self._learn_begin(tails)
-        for p, (stem, tail) in stems.items():
-            if p not in store:
-                store[p] = store[stem] + self._begin[tail] if tail else store[stem]
-        if keeps:
-            self._open.update(p for p in new if p[-1:].isspace())
-
-    def _learn_begin(self, pieces: set[str]) -> None:
-        new = sorted(pieces - self._begin.keys())
-        self._begin.update(zip(new, self._encode(new)))
+    def _piece(self, piece: str, lead: str, store: Store):
+        """The value of a piece that is no word; ``lead`` is the space before it."""
+        if self._kind == "spaces kept":
+            lines = piece.split("\n")
+            # A line end between other characters is a token of its own.
+            if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace()
+                                      for x in lines):
+                end = self._begin.kept("\n", lambda: next(self._encode(["\n"])))
+                parts = [store[lines[0]]]
+                for line in lines[1:]:
+                    parts += end, self._begin[line]
+                return self._joined(parts)
+            if piece[-1:].isspace():
+                self._open.add(piece)
+        return next(self._encode([lead + piece]))
+
+    def _joined(self, values: list):
+        return sum(values) if self._counts else b"".join(values)
+
+    def _word(self, word: str, lead: str):
+        plain = self._direct and max(word) < _LATIN_END
+        if plain and not lead and self._kind == "spaces dropped":
+            low = word.lower()
+            plain = word.isascii() or (word == low and unicodedata.is_normalized("NFC", word))
+            word = low if plain else word
+        if not plain:
+            return next(self._encode([lead + word]))
+        word = lead + word
+        if lead or not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        return self._value([t.id for t in self._model.tokenize(word)])
 
     def _chunks(self, text: str):
         """(at the start, chunk); later chunks come without the space they begin with."""
@@ -137,40 +189,28 @@ class Pieces:
         """One value for each text."""
         if self._kind == "whole":
             return list(self._encode(texts))
-        if len(self._store) > STORE:
-            self._store, self._open = {}, {""}
-        if len(self._begin) > STORE:
-            self._begin = {}
         keeps = self._kind == "spaces kept"
-        jobs, need, first = [], set(), set()
+        self._open = {""}
+        after, begin = self._after.__getitem__, self._begin.__getitem__
+        got = [[] for _ in texts]
         for i, text in enumerate(texts):
             for start, chunk in self._chunks(text):
+                if not keeps:
+                    # White space of any kind is dropped; line ends are the common other kind.
+                    got[i] += map(after, chunk.replace("\n", " ").split(" "))
+                    continue
                 pieces = chunk.split(" ")
-                if keeps and start:
-                    head = pieces.pop(0)
-                    first.add(head)
-                else:
-                    head = None
-                need.update(pieces)
-                jobs.append((i, head, pieces, chunk))
-        self._learn(need, self._store, " " if keeps else "")
-        if keeps:
-            self._learn_begin(first)
-        got = [[] for _ in texts]
-        value, begin = self._store.__getitem__, self._begin
-        for i, head, pieces, chunk in jobs:
-            if keeps and (head is not None and pieces and (not head or head[-1].isspace())
-                          or not self._open.isdisjoint(pieces[:-1])):
-                cut = _AFTER_WORD.split(chunk if head is not None else " " + chunk)
-                self._learn_begin(set(cut))
-                got[i] += map(begin.__getitem__, cut)
-            else:
-                if head is not None:
-                    got[i].append(begin[head])
-                got[i] += map(value, pieces)
-        return [sum(g) for g in got] if self._counts else [b"".join(g) for g in got]
-
-
-def pieces(path: str, counts: bool = False, direct: bool = True) -> Pieces:
+                head = pieces.pop(0) if start else None
+                values = [begin(head)] if start else []
+                values += map(after, pieces)
+                if (start and pieces and (not head or head[-1].isspace())
+                        or not self._open.isdisjoint(pieces[:-1])):
+                    values = map(begin, _AFTER_WORD.split(chunk if start else " " + chunk))
+                got[i] += values
+        return list(map(self._joined, got))
+
+
+def pieces(path: str, counts: bool = False, direct: bool = True, narrow: bool = False) -> Pieces:
     """The worker's encoder for a vocabulary file."""
-    return per_worker(("pieces", path, counts, direct), lambda: Pieces(path, counts, direct))
+    return per_worker(("pieces", path, counts, direct, narrow),
+                      lambda: Pieces(path, counts, direct, narrow))
