@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes
+from .shared import by_bytes, free, nothing_kept
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -121,24 +121,36 @@ class Model:
         return lang, score, flag
 
 
-def _sampled(docs: DataFrame, per_language: int, text: str, lang: str) -> DataFrame:
-    """(text, lang) of about ``per_language`` labelled rows of each language."""
+TICKETS = 1 << 62
+
+
+def last_ticket(per_language: int, rows: int) -> int:
+    """The last of ``TICKETS`` tickets that about ``per_language`` of ``rows`` rows hold."""
+    return TICKETS * min(per_language, rows) // rows - 1
+
+
+def _sampled(docs: DataFrame, per_language: int, text: str,
+             lang: str) -> tuple[DataFrame, set[str]]:
+    """(text, lang) of about ``per_language`` labelled rows of each language; equal rows are in
+    or out together."""
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(F.col(lang)).count().collect()}
+    chosen = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     if not counts:
-        return known.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = F.create_map(*(F.lit(x) for k, v in counts.items()
-                           for x in (k, int(min(1.0, per_language / v) * (1 << 20)))))
-    ticket = F.pmod(F.xxhash64(*(F.col(c) for c, t in docs.dtypes if not t.startswith("map"))),
-                    F.lit(1 << 20))
-    return (known.filter(ticket < share[F.col(lang)])
-            .select(F.col(text).alias("text"), F.col(lang).alias("lang")))
+        return chosen, set()
+    last = F.create_map(*(x for k, v in counts.items() for x in (
+        F.lit(k), F.lit(last_ticket(per_language, v)).cast("long"))))
+    ticket = F.xxhash64(*(F.col(c) for c, t in docs.dtypes if not t.startswith("map")))
+    drawn = F.shiftrightunsigned(ticket, 2) <= last[F.col(lang)]
+    return (known.filter(drawn).select(F.col(text).alias("text"), F.col(lang).alias("lang")),
+            set(counts))
 
 
 def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
         lang: str = "lang", smoothing: float = 0.5) -> Model:
-    """Fits on a bounded sample of labelled rows."""
-    sample = _sampled(docs, per_language, text, lang)
+    """Fits on a bounded sample of labelled rows. A labelled language of which no row is drawn
+    is an error."""
+    sample, labelled = _sampled(docs, per_language, text, lang)
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -147,14 +159,18 @@ def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
                 if k not in held:
                     held[k] = np.zeros(BUCKETS + 1, np.int64)
                 held[k] += np.bincount(grams([t])[0], minlength=BUCKETS + 1)
+                held[k][BUCKETS] = 1        # that the language was drawn at all
         for k, n in held.items():
-            at = np.flatnonzero(n[:BUCKETS])
+            at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()),
                  pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     got = (sample.mapInArrow(count, "lang string, bucket int, n long")
            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
+    if missed := labelled - set(got["lang"]):
+        raise RuntimeError(f"no rows drawn of {sorted(missed)}")
+    got = got[got["bucket"] < BUCKETS]
     languages = sorted(got["lang"].unique())
     if not languages:
         return Model([], np.zeros((0, 0), np.int8), np.zeros((BUCKETS + 1, 0), np.float32),
@@ -191,17 +207,22 @@ def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
 
 def predict(docs: DataFrame, model: Model, carry: dict[str, Column], text: str = "text",
             close: float = 1.0, slice_bytes: int = 1 << 20) -> DataFrame:
-    """``carry`` columns and (lang_pred, score, ambiguous) for every row of ``docs``."""
-    asked = docs.select(*(c.alias(n) for n, c in carry.items()), F.col(text).alias("__text"))
-    kept = list(carry)
-    kinds = "".join(f"`{n}` {k}, " for n, k in asked.select(kept).dtypes)
+    """``carry`` columns and (lang_pred, score, ambiguous) for every row of ``docs``; a name that
+    ``carry`` has already gets an underscore."""
+    asked = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(carry.values())),
+                        F.col(text).alias("text"))
+    kept = [f"k{i}" for i in range(len(carry))]
+    kinds = "".join(f"{n} {k}, " for n, k in asked.select(kept).dtypes)
 
     def name(batches):
-        for b in by_bytes(batches, "__text", slice_bytes):
-            lang, score, flag = model.predict(b.column("__text").to_pylist(), close)
+        nothing_kept()
+        for b in by_bytes(batches, "text", slice_bytes):
+            lang, score, flag = model.predict(b.column("text").to_pylist(), close)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(n) for n in kept), pa.array(lang, pa.string()),
                  pa.array(score, pa.float64()), pa.array(flag, pa.bool_())],
                 [*kept, "lang_pred", "score", "ambiguous"])
 
-    return asked.mapInArrow(name, kinds + "lang_pred string, score double, ambiguous boolean")
+    told = asked.mapInArrow(name, kinds + "lang_pred string, score double, ambiguous boolean")
+    return told.select(*(F.col(k).alias(n) for k, n in zip(kept, carry)), *(
+        F.col(n).alias(free(n, carry)) for n in ("lang_pred", "score", "ambiguous")))

@@ -49,14 +49,25 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str,
             yield batch.slice(begin)
 
 
-def per_worker(key, make: Callable):
-    """One object per Python worker process; tasks that follow in the process reuse it."""
-    kept = sys.__dict__.setdefault("_tripweave_kept", {})
+def _kept() -> dict:
+    return sys.__dict__.setdefault("_tripweave_kept", {})
+
+
+def per_worker(key: tuple, make: Callable):
+    """One object per Python worker process; tasks that follow in the process reuse it until
+    one of them wants another, or none."""
+    kept = _kept()
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+def nothing_kept() -> None:
+    """Gives up what stages before have left in this worker; for tasks that need its memory."""
+    _kept().clear()
+
+
 def number_of_blocks(rows: Column, most: int) -> Column:
     """How many blocks of about ``most`` rows a bucket of ``rows`` rows is cut into."""
     return F.ceil(rows / F.lit(most)).cast("int")
@@ -95,6 +106,14 @@ def unmasked(df: DataFrame, at: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(k).alias(c) for c, k in at.items()))
 
 
+def free(name: str, taken) -> str:
+    """``name``, with underscores after it until no column is called so."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is worked out once for a row however often it is used,
     also inside functions that run for each element of an array."""

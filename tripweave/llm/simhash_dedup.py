@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .links import block_pairs, components, linked_blocks
-from .shared import ROW, by_bytes, masked, unmasked, whole, with_rows
+from .shared import ROW, by_bytes, masked, nothing_kept, unmasked, whole, with_rows
 
 BITS = 64
 BLOCK = 4096
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str =
     kinds = "".join(f"`{n}` {k}, " for n, k in asked.select(*carry).dtypes)
 
     def make(batches):
+        nothing_kept()
         for b in by_bytes(batches, "__text", slice_bytes):
             fp = np.array([fingerprint(t, shingle, seed)
                            for t in b.column("__text").to_pylist()], np.uint64)
