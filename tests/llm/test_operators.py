@@ -320,6 +320,22 @@ def test_embedding_cases(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_languages_of_any_size_are_drawn():
+    for rows in (1, 10, 2000, 10**6, 10**11, 10**15):
+        drawn = (language_id.last_ticket(2000, rows) + 1) / language_id.TICKETS * rows
+        assert abs(drawn - min(rows, 2000)) < 1e-3
+
+
+def test_language_names_clash(spark):
+    df = spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour madame", "fr"), (3, None, None)],
+                               "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    got = language_id.predict(df, model, {"doc_id": F.col("doc_id"), "score": F.lit("mine"), "text": F.col("text")})
+    assert got.columns == ["doc_id", "score", "text", "lang_pred", "score_", "ambiguous"]
+    assert [(r.score, r.lang_pred) for r in got.orderBy("doc_id").collect()] == [
+        ("mine", "en"), ("mine", "fr"), ("mine", "und")]
+
+
 def test_line_dedup_cases(spark):
     line = ["shared", " shared ", "SHARED"]
     data = [(i, f"text {i}\n{line[i % 2]}\n\nend {i}", f"s{i % 12}") for i in range(24)]
@@ -327,16 +343,17 @@ def test_line_dedup_cases(spark):
     data += [(200, None, "s1"), (201, "", None), (202, "shared", "s1"), (203, "shared\n", None),
              (None, "shared\nshared\nlast", "s2")]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    df = df.withColumn("h1", F.lit(1)).withColumn("n_lines", F.lit(2)).drop("n_lines")
+    df = df.withColumn("h1", F.lit(1)).withColumn("n_lines", F.lit(777))
     got = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(df).collect()}
     assert got[0]["text"] == data[0][1] and got[1]["text"] == "text 1\n\nend 1"
-    assert got[1]["n_lines"] == 4 and got[1]["n_removed"] == 1
+    assert got[1]["n_lines_"] == 4 and got[1]["n_removed"] == 1
+    assert {r["n_lines"] for r in got.values()} == {777}
     assert got[105]["text"] == "copied\nwhole"
-    assert got[200]["text"] is None and got[200]["n_lines"] == 0 and got[201]["text"] == ""
+    assert got[200]["text"] is None and got[200]["n_lines_"] == 0 and got[201]["text"] == ""
     assert got[202]["text"] == "" and got[203]["text"] == "" and got[None]["text"] == "last"
     assert len(got) == 24 + 12 + 5
     none = line_dedup.remove_boilerplate(df.limit(0))
-    assert none.collect() == [] and none.columns[:4] == df.columns
+    assert none.collect() == [] and none.columns[:5] == df.columns
 
 
 def test_line_dedup_counts_sites_of_copies(spark):

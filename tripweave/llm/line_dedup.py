@@ -12,7 +12,7 @@ altogether.
 
 Null texts stay null and have no lines; lines blank after trimming are kept and not counted; a
 null site is a site of its own. Repeated rows are one text. An empty table gives no rows. All
-columns pass through, whatever their names.
+columns pass through, whatever their names; a figure whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .shared import masked, once, record, unmasked
+from .shared import free, masked, once, record, unmasked
 
 LINE, TEXT = ["h1", "h2"], ["t1", "t2"]
 
@@ -50,7 +50,10 @@ def spread_lines(places: DataFrame, min_sites: int, band: float = 0.15,
     several = stored(places.groupBy(*LINE)
                      .agg(F.min("site").alias("low"), F.max("site").alias("high"))
                      .filter("low < high").select(*LINE), "line-several")
-    estimated = stored(places.join(several, LINE, "left_semi").groupBy(*LINE)
+    # Written first: each task then sketches the lines of its rows, whichever they are, and only
+    # sketches meet, so that a line found everywhere is the work of many tasks.
+    places = stored(places.join(several, LINE, "left_semi"), "line-several-places")
+    estimated = stored(places.groupBy(*LINE)
                        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")),
                        "line-estimates")
     near = F.abs(F.col("sites") - min_sites) <= band * min_sites
@@ -75,7 +78,8 @@ def removed_lines(places: DataFrame, lines: DataFrame) -> DataFrame:
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text: str = "text",
                        site: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, all columns and rows kept, and
-    at the end ``n_lines`` (0 for a null text) and ``n_removed``."""
+    at the end ``n_lines`` (0 for a null text) and ``n_removed``; with underscores after the
+    name where ``docs`` has such a column."""
     named, at = masked(docs)
     t = at[text]
     places = occurrences(named, t, at[site], at[key])
@@ -97,5 +101,5 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, text: str = "text",
               .withColumn("n_lines", F.when(F.col(t).isNull(), 0).otherwise(F.size(lines))))
     clean = joined.select(*named.columns, kept.alias("kept"), "n_lines",
                           F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
-    return unmasked(clean.withColumn(t, F.col("kept")),
-                    at | {"n_lines": "n_lines", "n_removed": "n_removed"})
+    names = {free(n, at): n for n in ("n_lines", "n_removed")}
+    return unmasked(clean.withColumn(t, F.col("kept")), at | names)

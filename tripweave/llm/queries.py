@@ -173,9 +173,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents
 x AS (SELECT r, doc_id, text, '=' || source AS site, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 l AS (SELECT *, trim(line) AS t FROM x WHERE trim(line) <> ''),
-one AS (SELECT t, text, pos, min(coalesce(site, '')) AS site, min(doc_id) AS key
-        FROM l GROUP BY 1, 2, 3),
-wide AS (SELECT t FROM one GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+one AS (SELECT t, text, pos, min(doc_id) AS key FROM l GROUP BY 1, 2, 3),
+wide AS (SELECT t FROM l GROUP BY 1 HAVING count(DISTINCT coalesce(site, '')) >= 10),
 stays AS (SELECT t, text, pos FROM one JOIN wide USING (t)
           QUALIFY row_number() OVER (PARTITION BY t ORDER BY key NULLS LAST, text, pos) = 1),
 gone AS (SELECT x.r, x.pos FROM x JOIN wide ON trim(x.line) = wide.t
