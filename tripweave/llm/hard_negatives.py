@@ -15,11 +15,11 @@ a cluster, label or vector that holds a third of all rows is many tasks. Centres
 list's head ends, come from ``sample`` vectors (a bound on what the driver holds); both decide
 how much is read, never what is found.
 
-Rows with a null label, a null vector or null or non-finite components take no part. Vectors meet
-those with as many components only. Equal scores go by id, null ids last, then by row, so repeated
-rows and repeated ids are told apart; a null id is no anchor. Zero vectors score 0. Scores are
-whole numbers, exact up to 2^53. An empty table, one without anchors, or an anchor with no
-positives gives no rows. Extra columns are not read.
+Labels and ids are whole numbers. Rows with a null label, a null vector or null or non-finite
+components take no part. Vectors meet those with as many components only. Equal scores go by id,
+null ids last, then by row, so repeated rows and repeated ids are told apart; a null id is no
+anchor. Zero vectors score 0. Scores are whole numbers, exact up to 2^53. An empty table, one
+without anchors, or an anchor with no positives gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
