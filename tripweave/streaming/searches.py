@@ -57,6 +57,8 @@ def _added_up(rows: DataFrame, table: str) -> DataFrame:
     keys, sums = COUNTS[table]
     return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
+#: Log entries kept; a batch that is tried again reads the one before it.
+ENTRIES = 100
 #: State is dropped with the next batch that has events, not by a batch of its own.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -91,9 +93,9 @@ class Log:
         path, fs = _path(self.spark, f"{self.root}/log")
         if not fs.exists(path):
             return -1
-        done = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path)
-                if fs.exists(_path(self.spark, f"{f.getPath()}/_SUCCESS")[0])]
-        return max(done, default=-1)
+        begun = sorted((int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path)), reverse=True)
+        return next((n for n in begun if fs.exists(
+            _path(self.spark, f"{self.root}/log/batch={n}/_SUCCESS")[0])), -1)
 
     def entry(self, n: int) -> dict:
         if n < 0:
@@ -103,6 +105,8 @@ class Log:
     def write(self, n: int, entry: dict) -> None:
         (self.spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1)
          .write.mode("overwrite").text(f"{self.root}/log/batch={n}"))
+        path, fs = _path(self.spark, f"{self.root}/log/batch={n - ENTRIES}")
+        fs.delete(path, True)
 
     def remove(self, runs: list[dict]) -> None:
         for table in TABLES:
