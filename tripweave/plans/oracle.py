@@ -144,7 +144,7 @@ TABLES: dict[str, str] = {
                     THEN CAST(18.30 AS DOUBLE)
                     + CAST((user_id * 2741) % 1000 AS DOUBLE) * CAST(0.0007 AS DOUBLE)
                     + CAST(user_id // 200 // 100 AS DOUBLE) * CAST(0.8 AS DOUBLE) END AS from_lon,
-               (3 * event_id + 2) % 50 AS to_stop_id,
+               (3 * event_id + 2) % greatest(50, (SELECT count(*) FROM part) // 40) AS to_stop_id,
                CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 6 AS option_count,
                CAST(floor(value * 10) AS BIGINT) AS duration_ms, ts AS searched_at
         FROM events""",
@@ -158,7 +158,7 @@ TABLES: dict[str, str] = {
     # Stop-to-stop requests: every logged search, asked between stops.
     "od": """
         SELECT event_id AS request_id, (7 * user_id + 1) % (SELECT count(*) FROM part) AS from_id,
-               (3 * event_id + 2) % 50 AS to_id
+               (3 * event_id + 2) % greatest(50, (SELECT count(*) FROM part) // 40) AS to_id
         FROM events""",
     "pair": "SELECT DISTINCT from_id, to_id FROM od",
     "ride": """

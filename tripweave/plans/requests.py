@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.network import DAYS, TILE_PINS, grid_point, read
+from ..sources.network import DAYS, TILE_PINS, destination, grid_point, read
 
 
 def od_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def od_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), ((F.col("user_id") * 7 + 1) % n).alias("from_id"),
-        ((F.col("event_id") * 3 + 2) % 50).alias("to_id"))
+        destination(F.col("event_id"), n).alias("to_id"))
 
 
 def pins(spark: SparkSession, sf_dir: str) -> DataFrame:

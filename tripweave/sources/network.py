@@ -213,6 +213,11 @@ def _leg_geometry(legs: DataFrame):
                     F.lit("2026-01-01 00:00:00").cast("timestamp").alias("fetched_at")))
 
 
+def destination(event, stops):
+    """The stop an event asks for: one of a fortieth of all stops, of 50 at least."""
+    return (event * 3 + 2) % F.greatest(F.lit(50).cast("bigint"), F.floor(stops / 40))
+
+
 def _search_analytics(src):
     """Every event is a search; from a pin for some users, else from a stop."""
     e, u = F.col("event_id"), F.col("user_id")
@@ -226,7 +231,7 @@ def _search_analytics(src):
         F.when(pin, "pin").otherwise("stop").alias("from_kind"),
         F.when(~pin, (u * 7 + 1) % n).alias("from_stop_id"),
         F.when(pin, lat).alias("from_lat"), F.when(pin, lon).alias("from_lon"),
-        F.lit("stop").alias("to_kind"), ((e * 3 + 2) % 50).alias("to_stop_id"),
+        F.lit("stop").alias("to_kind"), destination(e, n).alias("to_stop_id"),
         F.lit(None).cast("double").alias("to_lat"), F.lit(None).cast("double").alias("to_lon"),
         (F.get_json_object("props", "$.k").cast("int") % 6).alias("option_count"),
         F.floor(F.col("value") * 10).cast("bigint").alias("duration_ms"),
