@@ -383,3 +383,19 @@ def test_buckets_of_a_table(spark):
     about = {r[0]: r[1] for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect()}
     assert about["Num Buckets"] == "10" and about["Bucket Columns"] == "[`x`]"
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_paths_of_two_changes(spark):
+    """Change points of pairs, against all paths; a hub is not multiplied by both of its ends."""
+    rnd = random.Random(4)
+    lines = {i: rnd.sample(range(30), 4) for i in range(25)}
+    t = Tables(spark, {"schedule_stop": lambda: spark.createDataFrame(
+        [(i, n, s) for i, line in lines.items() for n, s in enumerate(line)],
+        "schedule_id long, stop_sequence long, stop_id long")})
+    hops = {(a, b) for line in lines.values() for n, a in enumerate(line) for b in line[n + 1:]}
+    pairs = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(40)]
+    got = [tuple(r) for r in connect._through(t, spark.createDataFrame(
+        sorted(set(pairs)), "from_id long, to_id long")).collect()]
+    want = [(a, b, x, y) for a, b in sorted(set(pairs)) for x in range(30) for y in range(30)
+            if (a, x) in hops and (x, y) in hops and (y, b) in hops and y != a and x != b]
+    assert sorted(got) == want and len(want) > 20
