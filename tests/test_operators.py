@@ -399,3 +399,11 @@ def test_paths_of_two_changes(spark):
     want = [(a, b, x, y) for a, b in sorted(set(pairs)) for x in range(30) for y in range(30)
             if (a, x) in hops and (x, y) in hops and (y, b) in hops and y != a and x != b]
     assert sorted(got) == want and len(want) > 20
+
+
+def test_strip_reads_its_rows_once(spark):
+    from tripweave.operators.itinerary import trip_strip
+    from tripweave.plans.upkeep import _strips
+    out = trip_strip(load(spark, SF), _strips(spark, SF))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2
