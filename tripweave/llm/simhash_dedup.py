@@ -17,6 +17,8 @@ only where a component has no other. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,15 @@ BITS = 64
 BLOCK = 4096
 
 
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """A bit is 1 if more than half of ``n`` hashes, given in parts, set it."""
+    ones = np.zeros(BITS, np.int64)
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1,
+                              bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text: a bit is 1 if more than half the shingle hashes set it."""
     import xxhash
@@ -42,13 +53,10 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1:].tolist()
-    ones, step = np.zeros(BITS, np.int64), 1 << 16
-    for k in range(0, n, step):
-        h = np.array([hash_(flat[s:e], seed) for s, e in
-                      zip(starts[k:k + step], stops[k:k + step])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1,
-                              bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    step = 1 << 16
+    return majority((np.array([hash_(flat[s:e], seed) for s, e in
+                               zip(starts[k:k + step], stops[k:k + step])], "<u8")
+                     for k in range(0, n, step)), n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str = "text",
