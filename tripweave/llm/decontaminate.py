@@ -32,6 +32,7 @@ from .shared import by_bytes, masked, per_worker, unmasked, whole
 
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
+PIECE_BYTES = 1 << 17
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_STEP, -1, 1 << 64)
@@ -53,10 +54,18 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     a = _FOLD[np.frombuffer(raw, np.uint8)]
     edge = np.diff(np.concatenate(([False], _IN_WORD[a], [False])).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # A word's hash is a sum of powers times bytes; sums up to each place give it at once.
-    upto = np.concatenate((np.zeros(1, np.uint64),
-                           np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(a)))))
-    h = (upto[end] - upto[start]) * _powers(_INVERSE, len(a) + 1)[start]
+    # A word's hash is a sum of powers times bytes; sums up to each place give it at once. A piece
+    # of the text at a time: sums and powers take 32 times the bytes they are made of.
+    h, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        first = start[lo]
+        hi = max(lo + 1, int(np.searchsorted(end, first + PIECE_BYTES, "right")))
+        piece = a[first:end[hi - 1]]
+        upto = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(piece)), out=upto[1:])
+        h[lo:hi] = ((upto[end[lo:hi] - first] - upto[start[lo:hi] - first])
+                    * _powers(_INVERSE, len(piece) + 1)[start[lo:hi] - first])
+        lo = hi
     h ^= h >> np.uint64(29)
     return a, start, end, h * np.uint64(0xBF58476D1CE4E5B9)
 
