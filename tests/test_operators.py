@@ -407,3 +407,22 @@ def test_strip_reads_its_rows_once(spark):
     out = trip_strip(load(spark, SF), _strips(spark, SF))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2
+
+
+def test_tables_in_buckets_stay_where_they_are_in_any_session(spark):
+    """Cells meet rides by schedule and trip; only rides move, whatever the session was built with."""
+    from tripweave.session import CO_PARTITION
+    from tripweave.sources.network import derive
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(CO_PARTITION, "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = derive(spark, SF)
+        rides = spark.range(50).select(F.col("id").alias("schedule_id"), F.lit(0).cast("bigint").alias("trip_index"))
+        met = t.visit.join(rides, ["schedule_id", "trip_index"])
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        met = t.stop_time.join(t.schedule_stop, ["schedule_id", "stop_sequence"])
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    finally:
+        spark.conf.set(CO_PARTITION, "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
