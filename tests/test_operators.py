@@ -426,3 +426,32 @@ def test_tables_in_buckets_stay_where_they_are_in_any_session(spark):
     finally:
         spark.conf.set(CO_PARTITION, "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_plan_works_out_what_is_asked_for(spark, monkeypatch):
+    """Departures between stops read no pins and no paths."""
+    def never(*args, **kwargs):
+        raise AssertionError("not asked for")
+    monkeypatch.setattr(planner, "locate", never)
+    monkeypatch.setattr(planner, "_road_points", never)
+    t = network(spark, {1: ("A", "WEEKDAY", [1, 2], [[500, 520], [600, 620]])})
+    req = spark.createDataFrame([(7, 1, None, None, 2, None, None)], "request_id long, from_stop_id long, "
+                                "from_lat double, from_lon double, to_stop_id long, to_lat double, to_lon double")
+    p = planner.plan(t, req)
+    assert [r["board_raw"] for r in p.departures.orderBy("trip_index").collect()] == ["08:20", "10:00"]
+    assert p.options.count() == 1 and p.segment_stops.count() == 2
+
+
+def test_points_meet_stops_with_a_bus_only(spark, monkeypatch):
+    t = network(spark, {1: ("A", "WEEKDAY", [1, 2, 3], [[500, 520, 540]]), 2: ("B", "SUNDAY", [4, 5], [[500, 520]])})
+    seen, near = [], planner.stops_near
+
+    def spy(t, points, radius, among, *same):
+        seen.extend((r["stop_id"], r["to_id"]) for r in among.collect())
+        return near(t, points, radius, among, *same)
+    monkeypatch.setattr(planner, "stops_near", spy)
+    req = spark.createDataFrame([(1, -33.99, 18.5, 3, None, None)], "request_id long, lat double, lon double, "
+                                "to_id long, exclude_id long, day_type string")
+    got = [(r["rank"], r["stop_id"], r["trip_count"]) for r in planner.nearby_origins(t, req).collect()]
+    assert got == [(1, 2, 1), (2, 1, 1)]
+    assert sorted(seen) == [(1, 3), (2, 3)]
