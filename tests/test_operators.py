@@ -442,6 +442,25 @@ def test_plan_works_out_what_is_asked_for(spark, monkeypatch):
     assert p.options.count() == 1 and p.segment_stops.count() == 2
 
 
+def test_rides_that_differ_are_told_apart_by_digests(spark, monkeypatch):
+    """Only rides alike in times and texts are compared row by row."""
+    t = network(spark, {1: ("A", "WEEKDAY", [1, 2], [[500, 520], [600, 620], [500, 520]]),
+                        2: ("B", "WEEKDAY", [1, 2], [[500, 520]]), 3: ("C", "WEEKDAY", [1, 3], [[500, 520]])})
+    seen, keep = {}, diff.stored
+
+    def spy(df, name, *sort):
+        seen[name] = keep(df, name, *sort)
+        return seen[name]
+    monkeypatch.setattr(diff, "stored", spy)
+    pairs = {1: ((1, 0), (1, 1)), 2: ((1, 0), (1, 2)), 3: ((1, 0), (2, 0)), 4: ((1, 0), (3, 0)), 5: ((3, 0), (3, 0)),
+             6: ((9, 0), (9, 0))}
+    df = spark.createDataFrame([(k, *a, 0, 9, *b, 0, 9) for k, (a, b) in pairs.items()], "pair_id long, " + ", ".join(
+        f"{p}_{c} long" for p in "ab" for c in ("schedule_id", "trip_index", "from_seq", "to_seq")))
+    got = {r["pair_id"]: r["same"] for r in diff.equal_breakdowns(t, df).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False}
+    assert {r["pair_id"] for r in seen["close"].collect()} == {2, 3, 4}
+
+
 def test_points_meet_stops_with_a_bus_only(spark, monkeypatch):
     t = network(spark, {1: ("A", "WEEKDAY", [1, 2, 3], [[500, 520, 540]]), 2: ("B", "SUNDAY", [4, 5], [[500, 520]])})
     seen, near = [], planner.stops_near
