@@ -442,6 +442,15 @@ def test_plan_works_out_what_is_asked_for(spark, monkeypatch):
     assert p.options.count() == 1 and p.segment_stops.count() == 2
 
 
+def test_board_meets_requests_of_its_day_only(spark):
+    """Departures join requests by stop and day at once."""
+    from tripweave.operators.catalog import departure_board
+    out = departure_board(load(spark, SF), R.each_day(R.stop_requests(spark, SF)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    asked = [x for x in plan.splitlines() if re.search(r"Join Inner, .*stop_id", x)]
+    assert asked and all("day_type" in x for x in asked)
+
+
 def test_rides_that_differ_are_told_apart_by_digests(spark, monkeypatch):
     """Only rides alike in times and texts are compared row by row."""
     t = network(spark, {1: ("A", "WEEKDAY", [1, 2], [[500, 520], [600, 620], [500, 520]]),
