@@ -451,6 +451,12 @@ def test_board_meets_requests_of_its_day_only(spark):
     assert asked and all("day_type" in x for x in asked)
 
 
+def test_names_come_after_requests_have_met_their_rides(spark):
+    from tripweave.operators.trips import trip_stops
+    plan = trip_stops(load(spark, SF), R.ride_requests(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "stop_id" in next(x for x in plan.splitlines() if "Join Inner" in x)
+
+
 def test_rides_that_differ_are_told_apart_by_digests(spark, monkeypatch):
     """Only rides alike in times and texts are compared row by row."""
     t = network(spark, {1: ("A", "WEEKDAY", [1, 2], [[500, 520], [600, 620], [500, 520]]),
