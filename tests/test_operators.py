@@ -489,3 +489,15 @@ def test_points_meet_stops_with_a_bus_only(spark, monkeypatch):
     got = [(r["rank"], r["stop_id"], r["trip_count"]) for r in planner.nearby_origins(t, req).collect()]
     assert got == [(1, 2, 1), (2, 1, 1)]
     assert sorted(seen) == [(1, 3), (2, 3)]
+
+
+def test_origins_pick_rows_before_cells(spark):
+    from tripweave.operators.journeys import reachable_untimed
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reachable_untimed(load(spark, SF), R.stop_requests(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"Exchange [^\n]*\n(?:[^\n]*(?:Project|Filter|ColumnarToRow)[^\n]*\n)*[^\n]*tripweave_visit", plan)
+    assert not moved
