@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .shared import by_bytes, masked, per_worker, unmasked, whole
+from .shared import by_bytes, in_batches, masked, per_worker, unmasked, whole
 
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
@@ -291,7 +291,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "te
     for items in _blocks(benchmark, item_text, item, block_bytes):
         if done:
             state = stored(state, "decontaminate")
-        state = state.mapInArrow(search(_shared(sc, items, width)), schema)
+        state = in_batches(state, search(_shared(sc, items, width)), schema)
         done += 1
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["after"] - h["first"])
     return state.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, free, nothing_kept
+from .shared import by_bytes, free, in_batches, nothing_kept
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
     sample, labelled = _sampled(docs, per_language, text, lang)
 
     def count(batches):
+        nothing_kept()
         held: dict[str, np.ndarray] = {}
         for b in by_bytes(batches, "text", 1 << 20):
             for t, k in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
                 [pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()),
                  pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
-    got = (sample.mapInArrow(count, "lang string, bucket int, n long")
+    got = (in_batches(sample, count, "lang string, bucket int, n long")
            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     if missed := labelled - set(got["lang"]):
         raise RuntimeError(f"no rows drawn of {sorted(missed)}")
@@ -189,6 +190,7 @@ def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
     model = Model(languages, codes, weights, np.ones(codes.shape[1]))
 
     def judge(batches):
+        nothing_kept()
         for b in by_bytes(batches, "text", 1 << 20):
             texts, names = b.column("text").to_pylist(), b.column("lang").to_pylist()
             right = (np.sign(model.margins(texts))
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, per_language: int = 2000, text: str = "text",
                  pa.array(right.sum(0), pa.int64()),
                  pa.array([len(texts)] * right.shape[1], pa.int64())], ["bit", "ok", "n"])
 
-    bits = (sample.mapInArrow(judge, "bit int, ok long, n long")
+    bits = (in_batches(sample, judge, "bit int, ok long, n long")
             .groupBy("bit").agg(F.sum("ok").alias("ok"), F.sum("n").alias("n")).toPandas())
     ok = (bits["ok"] / bits["n"]).to_numpy()
     model.trust[bits["bit"].to_numpy()] = np.maximum(2 * ok - 1, 0.01)
@@ -223,6 +225,7 @@ def predict(docs: DataFrame, model: Model, carry: dict[str, Column], text: str =
                  pa.array(score, pa.float64()), pa.array(flag, pa.bool_())],
                 [*kept, "lang_pred", "score", "ambiguous"])
 
-    told = asked.mapInArrow(name, kinds + "lang_pred string, score double, ambiguous boolean")
+    told = in_batches(asked, name,
+                      kinds + "lang_pred string, score double, ambiguous boolean")
     return told.select(*(F.col(k).alias(n) for k, n in zip(kept, carry)), *(
         F.col(n).alias(free(n, carry)) for n in ("lang_pred", "score", "ambiguous")))

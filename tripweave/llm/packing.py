@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ROW, by_bytes, whole, with_rows
+from .shared import ROW, by_bytes, in_batches, whole, with_rows
 from .tokens import pieces
 
 GROUP_TOKENS = 4 << 20
@@ -60,8 +60,8 @@ def cut_documents(docs: DataFrame, path: str, length: int, end_id: int | None,
                 [b.column("key").take(pa.array(rows, pa.int64())),
                  *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    got = asked.mapInArrow(cut, f"key {kind}, start long, length long, ids_crc32 long, "
-                                "doc_tokens long" + ", ids binary" * keep_ids)
+    got = in_batches(asked, cut, f"key {kind}, start long, length long, ids_crc32 long, "
+                                 "doc_tokens long" + ", ids binary" * keep_ids)
     return got.withColumnRenamed("key", key)
 
 
