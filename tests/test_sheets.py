@@ -57,3 +57,43 @@ def test_tables_are_read_off_without_moving(spark):
     got = {(r.trip_index, r.stop_name): (r.cell_type, r.dep_min, r.note_code) for r in parsed.cells.collect()}
     assert got == {(0, "A"): ("TIME", 600, "a"), (0, "B"): ("TIME", 610, None), (1, "A"): ("VIA", None, None),
                    (1, "B"): ("NONE", None, None), (2, "A"): ("TIME", 660, None), (2, "B"): ("NONE", None, None)}
+
+
+def test_cells_are_cut_where_their_schedule_lies(spark):
+    """Loaded cells, their stops and visits lie in buckets of the schedule and aren't moved to meet."""
+    from pyspark.sql import functions as F
+
+    from tripweave.sources.network import visits
+
+    for data in (made_up(), [r for r in made_up() if r[1] % 5]):
+        parsed = P.parse(spark.createDataFrame(data, SCHEMA))
+        ids = parsed.schedules.select(*P.SECTION, F.xxhash64(*P.SECTION).alias("schedule_id")).filter(
+            "page_number % 4 <> 1")
+        got = parsed.cells_in_buckets(ids)
+        want = parsed.cells.join(ids, P.SECTION).select(got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = visits(got.withColumn("stop_id", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+
+
+def test_a_run_leaves_out_what_it_supersedes(spark):
+    """A run that prunes in one pass gives what loading and pruning one after another gave."""
+    from pyspark.sql import functions as F
+
+    from tripweave.operators import merge as G
+    from tripweave.plans.ingest import parsed
+    from tripweave.plans.upkeep import _TABLES, _fetched, current_manifest
+    from tripweave.sources.network import load
+
+    sf = "/root/testdata/sf0.001"
+    t, m, at = load(spark, sf), current_manifest(spark, sf).filter("pdf_filename LIKE '%3.pdf'"), F.lit(
+        "2026-02-01 00:00:00").cast("timestamp")
+    one = G.ingest(t, m, _fetched(m), parsed(spark, sf), at)
+    two = G.prune_superseded(G.load_batch(t, m, _fetched(m), parsed(spark, sf), at), m)
+    for name in _TABLES:
+        a = getattr(one, name)
+        b = getattr(two, name).select(a.columns)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+    assert one.visit.count() > 0
+    plan = one.stop_time._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
